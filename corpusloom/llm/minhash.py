@@ -4,16 +4,16 @@
    digest of the set, and a signature of minima. Texts with equal sets are one
    class; only its smallest id goes on.
 2. Signatures are cut into bands. Classes that agree on a band are in a
-   bucket; a bucket links each member with its smallest and its largest one,
-   so a bucket of n members gives at most 2n pairs.
+   bucket; a bucket pairs each member with one pseudo-random leader of its own,
+   so a bucket of n members gives n pairs at most.
 3. Each pair's signatures are compared batch by batch. After n hashes with m
    agreements a pair is dropped when, under the Beta posterior of a uniform
    prior, P(similarity >= threshold) is below ``miss``. Survivors are checked
    on their full sets.
 4. Components of the confirmed links are found. Buckets whose members are all
-   in one component are done: more links can't change anything. In the others
-   every pair of members of different components that has not been compared
-   goes through step 3, so nothing is left out.
+   in one component are done: more links can't change anything. The others get
+   new leaders; after two rounds every pair of members of different components
+   that has not been compared goes through step 3, so nothing is left out.
 
 Behaviour: null and empty texts and those without words have empty sets and
 link with nothing; texts of fewer than five words have one shingle, the whole
@@ -40,6 +40,10 @@ from corpusloom.llm.textcore import Hasher, ascii_space, encode, mix, sets, shin
 HASHES, BANDS, BATCH = 128, 32, 32
 #: Chance at which a pair is given up before its exact check, for a pair at the threshold.
 MISS = 1e-6
+#: Rounds that link members of a bucket with one leader, before the rest is compared in full.
+ROUNDS = 2
+#: As many document ids are broadcast at most (16 MB); more are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
 
 
 @cache
@@ -175,34 +179,39 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, miss: fl
     per_band = HASHES // BANDS
     keys = F.array(*(F.xxhash64(F.lit(k), F.substring("signature", 4 * per_band * k + 1, 4 * per_band)) for k in range(BANDS)))
     bands = nodes.select("node", F.explode(keys).alias("band"))
-    ends = bands.groupBy("band").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last")
-    members = scratch.stage(bands.join(ends, "band"), "members")  # only buckets with more than one class
-
-    stars = members.select("node", F.explode(F.array("first", "last")).alias("other")).where("node <> other")
-    tried = scratch.stage(stars.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct(), "tried")
-    left = scratch.stage(survivors(tried, nodes, threshold, miss, least), "survivors")
-
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        known = nodes.select(F.col("node").alias("doc_id"), "digest")
-        own = texts.join(wanted, "doc_id", "left_semi")
-        return scratch.stage(shingle_sets(own, width).join(known, ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"]).select(F.col("doc_id").alias("node"), "items"), "sets")
-
-    items = sets_of(left)
-    links = scratch.stage(confirmed(left, items, percent), "links")
-    scratch.drop(items)
-    found = scratch.stage(connected_components(links, scratch), "components")
-
-    labelled = members.join(found, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
-    mixed = labelled.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
-    rest = scratch.stage(labelled.join(mixed, "band", "left_semi"), "mixed")
-    x, y = rest.select("band", F.col("node").alias("a"), F.col("component").alias("ca")), rest.select("band", F.col("node").alias("b"), F.col("component").alias("cb"))
-    cross = x.join(y, "band").where("a > b and ca <> cb").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    late = scratch.stage(survivors(cross, nodes, threshold, miss, least), "late")
-    if not late.isEmpty():
-        items = sets_of(late)
-        more = scratch.stage(links.unionAll(confirmed(late, items, percent)), "links")
-        found = scratch.stage(connected_components(more, scratch), "components")
+    shared = bands.groupBy("band").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last").select("band")
+    members = scratch.stage(bands.join(shared, "band", "left_semi"), "members")  # only buckets with more than one class
+
+    wanted = scratch.stage(members.select(F.col("node").alias("doc_id")).distinct(), "wanted")
+    ids = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    known = nodes.select(F.col("node").alias("doc_id"), "digest")
+    own = shingle_sets(texts.join(ids, "doc_id", "left_semi"), width).join(known, ["doc_id", "digest"], "left_semi")
+    items = scratch.stage(own.dropDuplicates(["doc_id", "digest"]).select(F.col("doc_id").alias("node"), "items"), "sets")
+
+    tried = links = None
+    found = nodes.select("node", F.col("node").alias("component"))
+    for k in range(ROUNDS + 1):
+        labelled = scratch.stage(members.join(found, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component")), "labelled")
+        lead = labelled.groupBy("band").agg(
+            F.min("component").alias("lo"),
+            F.max("component").alias("hi"),
+            F.min(F.struct(F.xxhash64("node", "band", F.lit(k)).alias("order"), "node", "component")).alias("lead"),
+        )
+        lead = lead.where("lo < hi").select("band", F.col("lead.node").alias("other"), F.col("lead.component").alias("theirs"))
+        if k < ROUNDS:
+            pairs = labelled.join(lead, "band").where("component <> theirs").select("node", "other")
+        else:  # whatever is left, in full
+            rest = scratch.stage(labelled.join(lead.select("band"), "band", "left_semi"), "mixed")
+            theirs = rest.select("band", F.col("node").alias("other"), F.col("component").alias("theirs"))
+            pairs = rest.join(theirs, "band").where("node > other and component <> theirs").select("node", "other")
+        fresh = pairs.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
+        fresh = scratch.stage(fresh if tried is None else fresh.join(tried, ["a", "b"], "left_anti"), "pairs")
+        tried = fresh if tried is None else tried.unionAll(fresh)
+        more = scratch.stage(confirmed(survivors(fresh, nodes, threshold, miss, least), items, percent), "links")
+        if not more.isEmpty():
+            links = more if links is None else links.unionAll(more)
+            found = scratch.stage(connected_components(links, scratch), "components")
+        scratch.drop(labelled)
 
     label = nodes.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     out = sketched.select("doc_id", "n_shingles", "digest").join(label, "digest", "left")
