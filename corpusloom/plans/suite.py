@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
-from corpusloom.plans.catalogue import Catalogue
+from corpusloom.operators.dedupe import DEDUPE
+from corpusloom.operators.ledger import LEDGER
+from corpusloom.operators.matching import MATCHING
+from corpusloom.operators.planning import PLANNING
+from corpusloom.operators.transcript import TRANSCRIPT
+from corpusloom.operators.vocabulary import VOCABULARY
+from corpusloom.operators.voices import VOICES
+from corpusloom.streaming.standing import STREAMING
 
-CATALOGUE = Catalogue()
-QUERIES = CATALOGUE.queries
-ORACLE_SQL = CATALOGUE.sql
+QUERIES = {}
+ORACLE_SQL = {}
+for part in (DEDUPE, VOCABULARY, LEDGER, MATCHING, TRANSCRIPT, VOICES, PLANNING, STREAMING):
+    QUERIES |= part.queries
+    ORACLE_SQL |= part.sql
