@@ -22,8 +22,9 @@ of control pieces inside texts are ordinary text.
 from __future__ import annotations
 
 import hashlib
+import uuid
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ from corpusloom.llm.scratch import ARROW_ROWS
 from corpusloom.llm.token_counts import CACHE_CHARS, MARK, tokenizer_path
 
 UNKNOWN_PENALTY = 10.0
-CACHE = 300_000
+CACHE = 600_000
 
 
 class DoubleArray:
@@ -110,7 +111,8 @@ class Coder:
     def __init__(self, model: Unigram) -> None:
         self.m = model
         self.base, self.check = model.trie.base.tolist(), model.trie.check.tolist()
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.scores = np.array(model.score)
+        self.cache: dict[str, bytes] = {}
         self.split = regex.compile(f"{MARK}+[^{MARK}]*").findall
 
     def viterbi(self, text: str) -> tuple[int, ...]:
@@ -150,36 +152,117 @@ class Coder:
             n = back[n]
         return tuple(reversed(out))
 
+    def viterbi_many(self, texts: list[str]) -> list[tuple[int, ...]]:
+        """The same for many short texts at once: all of them take each step through the trie together."""
+        raws = [t.encode("utf-8", "surrogatepass") for t in texts]
+        size = np.array([len(r) for r in raws])
+        wide = int(size.max(initial=0))
+        grid = np.zeros((len(raws), wide + 4), np.uint8)
+        grid[np.arange(wide + 4)[None, :] < size[:, None]] = np.frombuffer(b"".join(raws), np.uint8)
+        base, check, score = self.m.trie.base, self.m.trie.check, self.scores
+        best = np.full((len(raws), wide + 5), -np.inf)
+        back, piece = np.zeros(best.shape, np.int32), np.full(best.shape, -1, np.int32)
+        best[:, 0] = 0.0
+        for i in range(wide):
+            first = grid[:, i]
+            begun = np.flatnonzero((size > i) & ((first & 0xC0) != 0x80))
+            if not len(begun):
+                continue
+            step = np.array([1, 2, 3, 4])[(first >= 0xC0).astype(int) + (first >= 0xE0) + (first >= 0xF0)]
+            single = np.zeros(len(raws), bool)
+            live, s, j = begun, np.zeros(len(begun), np.int64), i
+            while len(live):
+                t = base[s] + grid[live, j].astype(np.int64) + 1
+                ok = check[t] == s
+                live, s, j = live[ok], t[ok], j + 1
+                end = base[s]
+                done = (check[end] == s) & (base[end] < 0)
+                who, p = live[done], -1 - base[end[done]]
+                value = best[who, i] + score[p]
+                up = value > best[who, j]
+                best[who[up], j], back[who[up], j], piece[who[up], j] = value[up], i, p[up]
+                single[who] |= step[who] == j - i
+                more = size[live] > j
+                live, s = live[more], s[more]
+            bare = begun[~single[begun]]
+            to = i + step[bare]
+            value = best[bare, i] + self.m.unknown
+            up = value > best[bare, to]
+            bare, to = bare[up], to[up]
+            best[bare, to], back[bare, to], piece[bare, to] = value[up], i, -1
+        out = []
+        back_of, piece_of = back.tolist(), piece.tolist()
+        for raw, b, p in zip(raws, back_of, piece_of, strict=True):
+            n, ids = len(raw), []
+            while n:
+                if p[n] >= 0:
+                    ids.append(p[n])
+                else:
+                    ids.extend(self.m.byte[c] for c in reversed(raw[b[n] : n]))
+                n = b[n]
+            out.append(tuple(reversed(ids)))
+        return out
+
     def encode(self, text: str | None) -> list[int]:
-        if not text:
-            return []
-        flat = MARK + text.replace(" ", MARK)
+        return self.encode_many([text])[0].tolist()
+
+    def encode_many(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Piece ids of each text; what is remembered of a pre-token is its ids as bytes."""
+        flat = [MARK + t.replace(" ", MARK) if t else "" for t in texts]
         if not self.m.additive:
-            return list(self.viterbi(flat))
-        parts, cache = self.split(flat), self.cache
+            return [np.array(self.viterbi(t) if t else (), np.int32) for t in flat]
+        parts, cache = [self.split(t) for t in flat], self.cache
         if len(cache) > CACHE:
             cache.clear()
-        for p in set(parts) - cache.keys():
-            if len(p) <= CACHE_CHARS:
-                cache[p] = self.viterbi(p)
-        return list(chain.from_iterable(cache[p] if p in cache else self.viterbi(p) for p in parts))
+        fresh = sorted({p for own in parts for p in own} - cache.keys(), key=len)
+        short = [p for p in fresh if len(p) <= CACHE_CHARS]
+        for k in range(0, len(short), 4096):  # of about one length each
+            group = short[k : k + 4096]
+            cache.update((p, array("i", ids).tobytes()) for p, ids in zip(group, self.viterbi_many(group), strict=True))
+        long = {p: array("i", self.viterbi(p)).tobytes() for p in fresh[len(short) :]}
+        get = (lambda p: cache.get(p) or long[p]) if long else cache.__getitem__
+        return [np.frombuffer(b"".join(map(get, own)), np.int32) for own in parts]
 
     def decode(self, ids: list[int]) -> str:
         raw = b"".join(map(self.m.bytes.__getitem__, ids))
         return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
 
 
+class _Shared:
+    """A broadcast with a number that workers can know it by."""
+
+    def __init__(self, sent) -> None:
+        self.sent, self.id = sent, uuid.uuid4().int
+
+    @property
+    def value(self) -> Unigram:
+        return self.sent.value
+
+
+_coders: dict[int, Coder] = {}
+
+
+def _coder(shared) -> Coder:
+    """The worker's coder, with what it remembers from earlier tasks."""
+    from corpusloom.llm import unigram
+
+    if shared.id not in unigram._coders:
+        unigram._coders.clear()
+        unigram._coders[shared.id] = Coder(shared.value)
+    return unigram._coders[shared.id]
+
+
 def encode_texts(docs: DataFrame, model_file: str | None = None) -> DataFrame:
     """``(doc_id, n_tokens, input_ids, ids_sha256, round_trip)``, a row per input row."""
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    shared = spark.sparkContext.broadcast(Unigram(model_file or tokenizer_path()))  # bounded by the vocabulary
+    shared = _Shared(spark.sparkContext.broadcast(Unigram(model_file or tokenizer_path())))  # bounded by the vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(shared.value)
+        coder = _coder(shared)
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
-            rows = [np.array(coder.encode(t), np.int32) for t in texts]
+            rows = coder.encode_many(texts)
             n = [len(r) for r in rows]
             ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int32), *rows])))
             sha = [hashlib.sha256(r.astype("<i4").tobytes()).hexdigest() for r in rows]
@@ -192,10 +275,10 @@ def encode_texts(docs: DataFrame, model_file: str | None = None) -> DataFrame:
 def decode_ids(rows: DataFrame, model_file: str | None = None) -> DataFrame:
     """``(doc_id, text)`` from ``(doc_id, input_ids)``; null ids decode to the empty text."""
     spark = rows.sparkSession
-    shared = spark.sparkContext.broadcast(Unigram(model_file or tokenizer_path()))
+    shared = _Shared(spark.sparkContext.broadcast(Unigram(model_file or tokenizer_path())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(shared.value)
+        coder = _coder(shared)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([coder.decode(i or []) for i in b.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
 
