@@ -12,8 +12,14 @@
    on their full sets.
 4. Components of the confirmed links are found. Buckets whose members are all
    in one component are done: more links can't change anything. The others get
-   new leaders; after two rounds every pair of members of different components
-   that has not been compared goes through step 3, so nothing is left out.
+   new leaders for a second round.
+5. What is left are mostly documents near a large component but not of it. For
+   each the shingles that another component has too are counted, in 16 classes
+   of the shingle's hash. Two sets can't share more than the sum over classes
+   of the smaller counts, so a pair whose bound stays below the threshold has
+   no link. All other pairs of members of different components go through
+   step 3, each once. The bound is exact: no link is lost by it. Members of a
+   bucket's largest component are only paired with the bucket's others.
 
 Behaviour: null and empty texts and those without words have empty sets and
 link with nothing; texts of fewer than five words have one shingle, the whole
@@ -42,6 +48,8 @@ HASHES, BANDS, BATCH = 128, 32, 32
 MISS = 1e-6
 #: Rounds that link members of a bucket with one leader, before the rest is compared in full.
 ROUNDS = 2
+#: Classes of shingles in which the bound on an intersection is summed.
+CLASSES = 16
 #: As many document ids are broadcast at most (16 MB); more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -163,6 +171,37 @@ def confirmed(pairs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(linked("ia", "ib")).select("a", "b")
 
 
+def outside_counts(rest: DataFrame, items: DataFrame) -> DataFrame:
+    """``(node, size, c0, c1, ...)``: of each node of ``rest(node, component)`` the shingles that another component has too, by class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for node, component, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                own = np.frombuffer(raw, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), node)), pa.array(np.full(len(own), component)), pa.array(own)], ["node", "component", "shingle"])
+
+    each = rest.join(items, "node").select("node", "component", "items").mapInArrow(run, "node long, component long, shingle long")
+    common = each.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("shingle")
+    kind = F.pmod(F.shiftright("shingle", 7), F.lit(CLASSES))
+    counts = each.join(common, "shingle").groupBy("node").agg(*(F.count_if(kind == k).cast("int").alias(f"c{k}") for k in range(CLASSES)))
+    return counts.join(items.select("node", (F.length("items") / 8).cast("int").alias("size")), "node")
+
+
+def open_pairs(rest: DataFrame, counts: DataFrame, percent: int) -> DataFrame:
+    """``(node, other)``: pairs in a bucket of ``rest(band, node, component)``, of different components, that the bound doesn't exclude."""
+    own = counts.withColumn("shared", sum((F.col(f"c{k}") for k in range(1, CLASSES)), F.col("c0"))).where(100 * F.col("shared") >= percent * F.col("size"))
+    bands = rest.groupBy("node").agg(F.collect_set("band").alias("bands"))
+    rows = rest.join(own, "node").join(bands, "node")
+    most = rest.groupBy("band", "component").count().groupBy("band").agg(F.max(F.struct("count", "component")).alias("most")).select("band", F.col("most.component").alias("main"))
+    rows = rows.join(most, "band")
+    a, b = rows.alias("a"), rows.where("component <> main").alias("b")
+    bound = sum((F.least(f"a.c{k}", f"b.c{k}") for k in range(1, CLASSES)), F.least("a.c0", "b.c0"))
+    enough = lambda n: (100 + percent) * n >= percent * (F.col("a.size") + F.col("b.size"))
+    once = F.array_min(F.array_intersect("a.bands", "b.bands")) == F.col("a.band")
+    which = (F.col("a.band") == F.col("b.band")) & (F.col("a.component") != F.col("b.component")) & ((F.col("a.component") == F.col("a.main")) | (F.col("a.node") > F.col("b.node")))
+    return a.join(b, which & enough(F.least("a.shared", "b.shared")) & enough(bound) & once).select(F.col("a.node").alias("node"), F.col("b.node").alias("other"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, miss: float = MISS) -> DataFrame:
     """``(doc_id, n_shingles, component_id)``, a row per input row."""
     spark = docs.sparkSession
@@ -200,10 +239,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, miss: fl
         lead = lead.where("lo < hi").select("band", F.col("lead.node").alias("other"), F.col("lead.component").alias("theirs"))
         if k < ROUNDS:
             pairs = labelled.join(lead, "band").where("component <> theirs").select("node", "other")
-        else:  # whatever is left, in full
+        else:  # whatever is left, unless the bound excludes it
             rest = scratch.stage(labelled.join(lead.select("band"), "band", "left_semi"), "mixed")
-            theirs = rest.select("band", F.col("node").alias("other"), F.col("component").alias("theirs"))
-            pairs = rest.join(theirs, "band").where("node > other and component <> theirs").select("node", "other")
+            counts = scratch.stage(outside_counts(rest.select("node", "component").distinct(), items), "counts")
+            pairs = open_pairs(rest, counts, percent)
         fresh = pairs.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
         fresh = scratch.stage(fresh if tried is None else fresh.join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = fresh if tried is None else tried.unionAll(fresh)
