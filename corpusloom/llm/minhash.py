@@ -14,7 +14,7 @@
    in one component are done: more links can't change anything. The others get
    new leaders for a second round.
 5. What is left are mostly documents near a large component but not of it. For
-   each the shingles that another component has too are counted, in 16 classes
+   each the shingles that another component has too are counted, in 32 classes
    of the shingle's hash. Two sets can't share more than the sum over classes
    of the smaller counts, so a pair whose bound stays below the threshold has
    no link. All other pairs of members of different components go through
@@ -49,7 +49,7 @@ MISS = 1e-6
 #: Rounds that link members of a bucket with one leader, before the rest is compared in full.
 ROUNDS = 2
 #: Classes of shingles in which the bound on an intersection is summed.
-CLASSES = 16
+CLASSES = 32
 #: As many document ids are broadcast at most (16 MB); more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
