@@ -61,6 +61,7 @@ class Counting:
         self.sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
         self.additive = additive
         self.known = dict.fromkeys(whole, 1)
+        self.known[MARK] = len(self.sp.encode("a ")) - len(self.sp.encode("a"))  # last in a text; it can't be encoded alone, as one marker is put in front of every text
         self.floor = len(self.known)
         self.split = regex.compile(f"{MARK}+[^{MARK}]*").findall
 

@@ -150,6 +150,15 @@ def _as_unigram(path, to):
     return str(to)
 
 
+def test_token_counts_of_a_last_space():
+    import sentencepiece
+
+    path = token_counts.tokenizer_path()
+    texts = ["a ", "a  ", "one two ", " ", "▁", "a▁", "end. ", "line\n "]
+    want = [len(ids) for ids in sentencepiece.SentencePieceProcessor(model_file=path).encode(texts)]
+    assert token_counts.Counting(path, *token_counts.prove(path)).counts(texts) == want
+
+
 def test_unigram(docs, tmp_path):
     import sentencepiece
 
