@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -93,19 +94,76 @@ def q_quote(spark: SparkSession, d: str) -> DataFrame:
     return docs.join(b, F.col("text").contains(F.col("quote"))).groupBy("item_id").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
 
 
-@TRANSCRIPT.query("quote_fuzzy")
-def q_fuzzy(spark: SparkSession, d: str) -> DataFrame:
-    """Ratcliff-Obershelp similarity of quotations with the sentences that share their first word."""
-    @F.pandas_udf("double")
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        from difflib import SequenceMatcher
+def _in_order(a: str, at: dict[str, int], n: int) -> int:
+    """Length of the longest common subsequence of ``a`` and a string of ``n`` characters with the places ``at`` (bits)."""
+    full = (1 << n) - 1
+    row = full
+    for c in a:
+        both = row & at.get(c, 0)
+        row = ((row + both) | (row - both)) & full
+    return n - row.bit_count()
+
+
+def similar_quotes(quotes: list[tuple[int, str]], texts: list[str], least: float) -> list[tuple[int, int, float]]:
+    """``(item, place in texts, ratio)`` of all pairs whose Ratcliff-Obershelp ratio is at least ``least``.
+
+    Matched characters are no more than the shorter length, than the characters
+    in common, and than the longest common subsequence; only pairs that one of
+    these excludes are not compared.
+    """
+    from difflib import SequenceMatcher
+
+    def classes(t: str) -> np.ndarray:
+        return np.bincount(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) % 64, minlength=64)
+
+    out: list[tuple[int, int, float]] = []
+    if not quotes:
+        return out
+    size, held = np.array([len(q) for _, q in quotes]), np.array([classes(q) for _, q in quotes])
+    bits: list[dict[str, int]] = []
+    matchers = []
+    for _, q in quotes:
+        at: dict[str, int] = {}
+        for i, c in enumerate(q):
+            at[c] = at.get(c, 0) | 1 << i
+        bits.append(at)
+        matchers.append(SequenceMatcher(None, "", q))
+    for k, t in enumerate(texts):
+        need = least * (size + len(t)) - 1e-6  # twice the characters that must match
+        able = np.flatnonzero(2 * np.minimum(size, len(t)) >= need)
+        able = able[2 * np.minimum(held[able], classes(t)).sum(axis=1) >= need[able]]
+        for j in able:
+            if 2 * _in_order(t, bits[j], int(size[j])) < need[j]:
+                continue
+            matchers[j].set_seq1(t)
+            ratio = matchers[j].ratio()
+            if ratio >= least:
+                out.append((quotes[j][0], k, ratio))
+    return out
+
+
+def fuzzy_quotes(quotes: DataFrame, docs: DataFrame, least: float = 0.75) -> DataFrame:
+    """``(item_id, ratio, doc_id)``: best ratio of each whole quotation with any sentence, and the first document with one that reaches ``least``."""
+    known = [(r["item_id"], r["text"]) for r in quotes.select("item_id", "text").where("text IS NOT NULL").collect()]  # a bounded list
+
+    def run(batches):
+        for b in batches:
+            found = similar_quotes(known, b["sentence"].tolist(), least)
+            doc = b["doc_id"].to_numpy()
+            yield pd.DataFrame({"item_id": pd.Series([f[0] for f in found], dtype=items), "ratio": pd.Series([f[2] for f in found], dtype=float), "doc_id": pd.Series([doc[f[1]] for f in found], dtype="int64")})
+
+    kind = quotes.schema["item_id"].dataType.simpleString()
+    items = "object" if kind == "string" else "int64"
+    each = docs.select("doc_id", F.explode(sentences("text")).alias("sentence")).groupBy("sentence").agg(F.min("doc_id").alias("doc_id"))
+    each = each.repartition(4 * docs.sparkSession.sparkContext.defaultParallelism)  # few bytes, much work
+    pairs = each.mapInPandas(run, f"item_id {kind}, ratio double, doc_id long")
+    return pairs.groupBy("item_id").agg(F.max("ratio").alias("ratio"), F.min("doc_id").alias("doc_id"))
 
-        return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype=float)
 
-    key = F.lower(F.substring_index("quote", " ", 3))
-    b = table(spark, d, "benchmark").select("item_id", F.substring("text", 1, 120).alias("quote")).withColumn("k", key)
-    s = table(spark, d, "documents").select("doc_id", F.explode(sentences("text")).alias("sentence")).withColumn("k", F.lower(F.substring_index("sentence", " ", 3)))
-    return b.join(s, "k").withColumn("ratio", ratio("quote", "sentence")).where("ratio >= 0.75").groupBy("item_id").agg(F.max("ratio").alias("ratio"), F.min("doc_id").alias("doc_id"))
+@TRANSCRIPT.query("quote_fuzzy")
+def q_fuzzy(spark: SparkSession, d: str) -> DataFrame:
+    """Ratcliff-Obershelp similarity of whole quotations with every sentence."""
+    return fuzzy_quotes(table(spark, d, "benchmark"), table(spark, d, "documents"))
 
 
 @TRANSCRIPT.query("timestamp_error", "WITH x AS (SELECT event_type, abs((event_id % 3600 // 60) * 60 + event_id % 60 - (event_id * 7) % 3600) AS e FROM events) SELECT event_type, count(*) AS n, count(*) FILTER (e <= 30) AS near, list_sort(list(e))[count(*) // 2 + 1] AS median FROM x GROUP BY 1")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text
-from corpusloom.operators import planning
+from corpusloom.operators import planning, transcript
 from corpusloom.operators.matching import unique_stems
 from corpusloom.operators.vocabulary import expand_code
 from corpusloom.plans import suite
@@ -69,3 +69,16 @@ def test_order_refuses():
 def test_stems(spark):
     df = spark.createDataFrame([("x", 1, "t"), ("x", 2, "t-0"), ("x", 3, "t"), ("x", 4, "t")], "author string, pos long, stem string")
     assert [r["unique"] for r in unique_stems(df).orderBy("pos").collect()] == ["t", "t-0", "t-1", "t-2"]
+
+
+def test_fuzzy_quotes(spark):
+    from difflib import SequenceMatcher
+
+    long = "The grey harbour lay under fog while 12 boats kept waiting for jazz, quartz vexed by pilots and the quiet mayor who had promised them a lamp, a bell, six maps and a warm hut beside the old northern wall before winter set in again over the bay."
+    quotes = [(1, long), (2, "Thr quick brown fox jumps over the lazy dog."), (3, "Nothing like this is anywhere in the texts."), (4, None), (5, "")]
+    texts = [long, "The quick brown fox jumps over the lazy dog.", "the lazy dog jumps over a fox", "", "Teh harbour " + long[16:]]
+    got = transcript.similar_quotes([q for q in quotes if q[1] is not None], texts, 0.75)
+    assert got == [(i, k, r) for k, t in enumerate(texts) for i, q in quotes if q is not None for r in [SequenceMatcher(None, t, q).ratio()] if r >= 0.75]
+    docs = spark.createDataFrame([(7, texts[0]), (8, texts[1]), (9, None)], "doc_id long, text string")
+    found = {r["item_id"]: (r["ratio"], r["doc_id"]) for r in transcript.fuzzy_quotes(spark.createDataFrame(quotes, "item_id long, text string"), docs).collect()}
+    assert set(found) == {1, 2} and found[1] == (1.0, 7) and found[2][1] == 8
