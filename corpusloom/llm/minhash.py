@@ -203,7 +203,7 @@ def open_pairs(rest: DataFrame, counts: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, miss: float = MISS) -> DataFrame:
-    """``(doc_id, n_shingles, component_id)``, a row per input row."""
+    """``(doc_id, n_shingles, component_id)``, a row per input row; one without doc_id names no component, it only has that of equal texts."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
     threshold = percent / 100
@@ -212,7 +212,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, miss: fl
 
     sketched = scratch.stage(sketch(texts, width), "sketch")
     nodes = scratch.stage(
-        sketched.where("n_shingles > 0").groupBy("digest").agg(F.min(F.struct("doc_id", "signature")).alias("s")).select("digest", F.col("s.doc_id").alias("node"), F.col("s.signature").alias("signature")),
+        sketched.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min(F.struct("doc_id", "signature")).alias("s")).select("digest", F.col("s.doc_id").alias("node"), F.col("s.signature").alias("signature")),
         "nodes",
     )
     per_band = HASHES // BANDS

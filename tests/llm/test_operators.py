@@ -91,6 +91,14 @@ def test_passages_beyond_the_first_document(spark):
     assert not [i for i in range(3, at, 3) if (i, i - 1) not in got]
 
 
+def test_rows_without_doc_id(spark):
+    a, b = " ".join(words(120, 71)), " ".join(words(120, 72))
+    rows = spark.createDataFrame([(None, a), (5, a), (6, a), (None, b), (8, "x y z")], "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["component_id"]) for r in minhash.near_duplicates(rows).collect()), key=str)
+    assert got == sorted([(None, 5), (5, 5), (6, 5), (None, None), (8, 8)], key=str)
+    assert {(r["doc_id"], r["ref_doc_id"]) for r in passages.find_passages(rows).collect()} == {(6, 5)}
+
+
 @pytest.mark.parametrize("top", [3, 12, 10**9])
 def test_compact_windows(top):
     rng = np.random.default_rng(top)
