@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.scratch import ARROW_ROWS
+from corpusloom.llm.scratch import bounded
 from corpusloom.llm.textcore import Hasher, encode, not_alnum
 
 WINDOW = 10
@@ -118,7 +118,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDO
     are united by word number.
     """
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    bounded(spark)
     shared = [spark.sparkContext.broadcast(b) for b in blocks(spark, benchmark, block_bytes)]
     space = not_alnum()
 

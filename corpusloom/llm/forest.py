@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.scratch import Scratch
+from corpusloom.llm.scratch import Scratch, bounded
 
 TREES, BITS = 24, 32
 #: Rows of a shard and of a query block.
@@ -117,7 +117,7 @@ def _clean(vectors: DataFrame) -> DataFrame:
 def nearest(vectors: DataFrame, queries: DataFrame, n: int = NEAREST, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``n`` nearest vectors found for each query but itself."""
     scratch = Scratch(vectors.sparkSession)
-    vectors.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
+    bounded(vectors.sparkSession)
     few = Window.partitionBy("v").orderBy("vec_id")
     # the n + 1 smallest ids of a vector: Spark keeps no more of a group before the shuffle either
     ranked = _clean(vectors).withColumn("r", F.row_number().over(few)).where(F.col("r") <= n + 1)

@@ -13,18 +13,26 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows that go to a Python worker at once: bounds memory when texts are very long.
-ARROW_ROWS = 128
+#: What goes to a Python worker at once, the same for all operators: rows, and bytes, which bound it when texts are long.
+ARROW_ROWS, ARROW_BYTES = 2048, 4 << 20
 
 _live: list[Scratch] = []
 _own: list[str] = []
 
 
+def bounded(spark: SparkSession) -> None:
+    """Bound the batches of Python workers. All operators set the same bounds, so a lazy frame has them whatever ran since."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, or one of our own where none is named."""
+    """The cluster's shared folder; one of our own where none is named, which only a local master can read back."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not _own:
         _own.append("file://" + tempfile.mkdtemp(prefix="corpusloom-"))
     return _own[0]
@@ -37,7 +45,7 @@ class Scratch:
         self.spark = spark
         self.uri = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
         self._n = 0
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+        bounded(spark)
         _live.append(self)
 
     def path(self, name: str) -> str:

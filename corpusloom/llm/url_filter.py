@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.scratch import ARROW_ROWS, Scratch
+from corpusloom.llm.scratch import Scratch, bounded
 
 RULES = (
     ("block", "com/en/"),
@@ -137,7 +137,7 @@ def filter_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, ur
     """``page_id`` with host, path, rule and verdict."""
     spark = pages.sparkSession
     scratch = Scratch(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS * 32))
+    bounded(spark)
     uri = write_index(spark, scratch, build(list(rules)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
