@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import base64  # noqa: F401
 import random
 from collections import defaultdict
 
@@ -117,74 +116,6 @@ def test_compact_windows(top):
         assert set(zip(*(x.tolist() for x in passages.compact_windows(v, begin, least)), strict=True)) == want
 
 
-def test_token_counts(docs):
-    import sentencepiece
-
-    sp = sentencepiece.SentencePieceProcessor(model_file=token_counts.tokenizer_path())
-    for r in token_counts.count_tokens(docs).collect():
-        assert r["n_tokens"] == len(sp.encode(r["text"] or "")) and r["n_bytes"] == len((r["text"] or "").encode())
-
-
-def _as_unigram(path, to):
-    """The same pieces as a unigram model: field 3 of the trainer spec (field 2) becomes 1."""
-    raw, at, out = open(path, "rb").read(), 0, b""
-
-    def varint(b, i):
-        n = s = 0
-        while True:
-            n |= (b[i] & 127) << s
-            s, i = s + 7, i + 1
-            if not b[i - 1] & 128:
-                return n, i
-
-    while at < len(raw):
-        tag, i = varint(raw, at)
-        size, i = varint(raw, i)
-        part = raw[i : i + size]
-        if tag >> 3 == 2:
-            j = 0
-            while j < len(part):
-                t, k = varint(part, j)
-                if t == 0x18:
-                    part = part[:k] + b"\x01" + part[k + 1 :]
-                    break
-                n, k = varint(part, k)
-                j = k + (n if t & 7 == 2 else 0) if t & 7 in (0, 2) else j + 1 + 4
-            out += raw[at : i] + part
-        else:
-            out += raw[at : i + size]
-        at = i + size
-    to.write_bytes(out)
-    return str(to)
-
-
-def test_token_counts_of_a_last_space():
-    import sentencepiece
-
-    path = token_counts.tokenizer_path()
-    texts = ["a ", "a  ", "one two ", " ", "▁", "a▁", "end. ", "line\n "]
-    want = [len(ids) for ids in sentencepiece.SentencePieceProcessor(model_file=path).encode(texts)]
-    assert token_counts.Counting(path, *token_counts.prove(path)).counts(texts) == want
-
-
-def test_unigram(docs, tmp_path):
-    import sentencepiece
-
-    m = unigram.Unigram(unigram.tokenizer_path())
-    coder = unigram.Coder(m)
-    rows = unigram.encode_texts(docs.select("doc_id", "text"))
-    for r in rows.join(docs.select("doc_id", "text").distinct(), "doc_id").collect():
-        want = [] if not r["text"] else [p for w in coder.split(unigram.MARK + r["text"].replace(" ", unigram.MARK)) for p in coder.viterbi(w)]
-        assert r["input_ids"] == want and r["n_tokens"] == len(want) and (r["round_trip"] or "▁" in r["text"])
-    back = {r["doc_id"]: r["text"] for r in unigram.decode_ids(rows.select("doc_id", "input_ids")).collect()}
-    assert back[3] == docs.where("doc_id = 3").first()["text"] and back[4] == ""
-    sp = sentencepiece.SentencePieceProcessor(model_file=_as_unigram(unigram.tokenizer_path(), tmp_path / "u.model"))
-    for t in ("hello world", "naïve 日本語 ok", "a\nb", "tokenisation of words", "x  y"):
-        score = lambda ids: sum(m.score[i] if i >= 259 else m.unknown for i in ids)
-        assert sp.decode(sp.encode(t)) == coder.decode(coder.encode(t)) == t
-        assert score(coder.encode(t)) >= score(sp.encode(t)) - 1e-6
-
-
 def test_decontamination(spark, docs):
     passage = docs.where("doc_id = 9").first()["text"].split()[150:230]
     bench = spark.createDataFrame([(5, " ".join(passage[:12]).upper()), (6, "Two words!"), (7, None), (8, ""), (9, " ".join(passage[3:14]))], "item_id long, text string")
