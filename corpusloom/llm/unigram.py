@@ -4,39 +4,48 @@ Pieces stand in a double-array trie over their UTF-8 bytes. A text (spaces as
 markers, one marker in front) is segmented so that the sum of its pieces' log
 scores is largest; of equal sums the one found first, scanning starts from the
 left, stays. A character that no piece covers costs ten less than the worst
-piece and is written as byte pieces. Where no piece has a marker after another
-character, segments between markers are independent, so each distinct one is
-solved once and remembered in a bounded cache; else texts are solved whole.
+piece and is written as byte pieces. Where no piece has two characters side by
+side, none crosses from one to the other: segments between such places are
+independent, so each distinct one is solved once and remembered in a bounded
+store.
 
 Decoding joins pieces, turns byte pieces into bytes (what is not UTF-8 becomes
 U+FFFD), markers into spaces, and takes off the space put in front.
 
-The vocabulary is a parameter: any SentencePiece model file whose pieces and
-scores are read as a unigram model.
+The vocabulary is a parameter: any SentencePiece model file. The scores of a
+unigram model are log probabilities and are taken as they are. A merge model
+has ranks in their place; tokenizers are not trained here, so its pieces get
+the log probabilities of Zipf's law over those ranks (``zipf``).
 
 Behaviour: null and empty texts have no tokens and decode to the empty text;
 a literal marker (U+2581) is a space, so such texts don't round-trip; strings
-of control pieces inside texts are ordinary text.
+of control pieces inside texts are ordinary text; very long texts are encoded
+whole, one above ``GROUP_BYTES`` alone; repeated rows give a row each; a null
+doc_id stays null; an empty table gives no rows; further columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
 import uuid
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.scratch import ARROW_ROWS
-from corpusloom.llm.token_counts import CACHE_CHARS, MARK, tokenizer_path
+from corpusloom.llm.piecemodels import MARK, joins, piece_bytes, settings
+from corpusloom.llm.pretokens import Solved, groups, split, take_slices
+from corpusloom.llm.scratch import bounded
+from corpusloom.llm.textcore import encode
+from corpusloom.llm.token_counts import tokenizer_path
 
 UNKNOWN_PENALTY = 10.0
-CACHE = 600_000
+#: Segments that a worker remembers, and the longest (in bytes) that are solved together.
+CACHE, TOGETHER = 400_000, 96
+#: Zipf's law: the piece of rank r (from 0) has a share of 1 / (r + ZIPF_SHIFT).
+ZIPF_SHIFT = 2.7
 
 
 class DoubleArray:
@@ -81,6 +90,12 @@ class DoubleArray:
         self.base, self.check = base, check
 
 
+def zipf(ranks: np.ndarray) -> np.ndarray:
+    """Log probabilities of Zipf's law, in single precision as model files have them."""
+    share = 1 / (ranks + ZIPF_SHIFT)
+    return np.log(share / share.sum()).astype(np.float32)
+
+
 class Unigram:
     """A vocabulary with its trie; small enough to broadcast (a few MB)."""
 
@@ -89,35 +104,41 @@ class Unigram:
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
         ids = range(sp.vocab_size())
-        plain = [i for i in ids if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
-        self.score = [float(sp.get_score(i)) for i in ids]
+        pieces = piece_bytes(sp)
+        plain = list(pieces)
+        given = np.array([sp.get_score(i) for i in ids])
+        self.score = given.astype(np.float64)
+        if settings(model_file)[0] != 1:
+            ranks = np.empty(len(plain))
+            ranks[np.argsort(-given[plain], kind="stable")] = np.arange(len(plain))
+            self.score[plain] = zipf(ranks)
         self.byte = [0] * 256
-        self.bytes: list[bytes] = []
+        bare: list[bytes] = []
         for i in ids:
-            p = sp.id_to_piece(i)
             if sp.is_byte(i):
-                self.byte[int(p[1:-1], 16)] = i
-                self.bytes.append(bytes([int(p[1:-1], 16)]))
+                value = int(sp.id_to_piece(i)[1:-1], 16)
+                self.byte[value] = i
+                bare.append(bytes([value]))
             else:
-                self.bytes.append(b"" if sp.is_control(i) or sp.is_unknown(i) else p.replace(MARK, " ").encode())
-        self.unknown = min(self.score[i] for i in plain) - UNKNOWN_PENALTY
-        self.additive = all(MARK not in sp.id_to_piece(i).lstrip(MARK) for i in plain)
-        self.trie = DoubleArray({sp.id_to_piece(i).encode(): i for i in plain})
+                bare.append(b"" if sp.is_control(i) or sp.is_unknown(i) else sp.id_to_piece(i).replace(MARK, " ").encode())
+        #: Bytes of all pieces one after the other, and where each begins.
+        self.bytes, self.begin = np.frombuffer(b"".join(bare), np.uint8), np.cumsum([0, *map(len, bare)])
+        self.unknown = float(self.score[plain].min()) - UNKNOWN_PENALTY
+        self.joined = joins(list(pieces.values()))
+        self.trie = DoubleArray({p: i for i, p in pieces.items()})
 
 
 class Coder:
     """Encodes and decodes in one worker."""
 
-    def __init__(self, model: Unigram) -> None:
+    def __init__(self, model: Unigram, cache: int = CACHE) -> None:
         self.m = model
-        self.base, self.check = model.trie.base.tolist(), model.trie.check.tolist()
-        self.scores = np.array(model.score)
-        self.cache: dict[str, bytes] = {}
-        self.split = regex.compile(f"{MARK}+[^{MARK}]*").findall
-
-    def viterbi(self, text: str) -> tuple[int, ...]:
-        raw = text.encode("utf-8", "surrogatepass")
-        n, base, check, score, unknown = len(raw), self.base, self.check, self.m.score, self.m.unknown
+        self.base, self.check, self.score = model.trie.base.tolist(), model.trie.check.tolist(), model.score.tolist()
+        self.solved = Solved(self._solve, None, cache)
+
+    def viterbi(self, raw: bytes) -> list[int]:
+        """Piece ids of one segment, markers as spaces."""
+        n, base, check, score, unknown = len(raw), self.base, self.check, self.score, self.m.unknown
         best, back, piece = [None] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
         best[0] = 0.0
         i = 0
@@ -150,16 +171,15 @@ class Coder:
             else:
                 out.extend(self.m.byte[b] for b in reversed(raw[back[n] : n]))
             n = back[n]
-        return tuple(reversed(out))
+        return out[::-1]
 
-    def viterbi_many(self, texts: list[str]) -> list[tuple[int, ...]]:
-        """The same for many short texts at once: all of them take each step through the trie together."""
-        raws = [t.encode("utf-8", "surrogatepass") for t in texts]
+    def viterbi_many(self, raws: list[bytes]) -> list[list[int]]:
+        """The same for many short segments at once: all of them take each step through the trie together."""
         size = np.array([len(r) for r in raws])
         wide = int(size.max(initial=0))
         grid = np.zeros((len(raws), wide + 4), np.uint8)
         grid[np.arange(wide + 4)[None, :] < size[:, None]] = np.frombuffer(b"".join(raws), np.uint8)
-        base, check, score = self.m.trie.base, self.m.trie.check, self.scores
+        base, check, score = self.m.trie.base, self.m.trie.check, self.m.score
         best = np.full((len(raws), wide + 5), -np.inf)
         back, piece = np.zeros(best.shape, np.int32), np.full(best.shape, -1, np.int32)
         best[:, 0] = 0.0
@@ -191,8 +211,7 @@ class Coder:
             bare, to = bare[up], to[up]
             best[bare, to], back[bare, to], piece[bare, to] = value[up], i, -1
         out = []
-        back_of, piece_of = back.tolist(), piece.tolist()
-        for raw, b, p in zip(raws, back_of, piece_of, strict=True):
+        for raw, b, p in zip(raws, back.tolist(), piece.tolist(), strict=True):
             n, ids = len(raw), []
             while n:
                 if p[n] >= 0:
@@ -200,32 +219,38 @@ class Coder:
                 else:
                     ids.extend(self.m.byte[c] for c in reversed(raw[b[n] : n]))
                 n = b[n]
-            out.append(tuple(reversed(ids)))
+            out.append(ids[::-1])
+        return out
+
+    def _solve(self, segments: list[bytes]) -> list[np.ndarray]:
+        out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(segments)
+        order = sorted(range(len(segments)), key=lambda k: len(segments[k]))
+        short = [k for k in order if len(segments[k]) <= TOGETHER]
+        for at in range(0, len(short), 4096):  # of about one length each
+            group = short[at : at + 4096]
+            for k, ids in zip(group, self.viterbi_many([segments[k] for k in group]), strict=True):
+                out[k] = np.array(ids, np.int32)
+        for k in order[len(short) :]:
+            out[k] = np.array(self.viterbi(segments[k]), np.int32)
         return out
 
     def encode(self, text: str | None) -> list[int]:
-        return self.encode_many([text])[0].tolist()
-
-    def encode_many(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Piece ids of each text; what is remembered of a pre-token is its ids as bytes."""
-        flat = [MARK + t.replace(" ", MARK) if t else "" for t in texts]
-        if not self.m.additive:
-            return [np.array(self.viterbi(t) if t else (), np.int32) for t in flat]
-        parts, cache = [self.split(t) for t in flat], self.cache
-        if len(cache) > CACHE:
-            cache.clear()
-        fresh = sorted({p for own in parts for p in own} - cache.keys(), key=len)
-        short = [p for p in fresh if len(p) <= CACHE_CHARS]
-        for k in range(0, len(short), 4096):  # of about one length each
-            group = short[k : k + 4096]
-            cache.update((p, array("i", ids).tobytes()) for p, ids in zip(group, self.viterbi_many(group), strict=True))
-        long = {p: array("i", self.viterbi(p)).tobytes() for p in fresh[len(short) :]}
-        get = (lambda p: cache.get(p) or long[p]) if long else cache.__getitem__
-        return [np.frombuffer(b"".join(map(get, own)), np.int32) for own in parts]
+        return self.encode_many([encode(text)])[0].tolist()
+
+    def encode_many(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Piece ids of all texts one after the other, and where each text's begin (one more than texts)."""
+        segments, begin = split(texts, self.m.joined)
+        ids, at = self.solved.gather(self.solved.look_up(segments))
+        return ids, at[begin]
+
+    def decode_many(self, ids: np.ndarray, begin: np.ndarray) -> list[bytes]:
+        """The bytes of each slice of ids, without the space put in front."""
+        raw, at = take_slices(self.m.bytes, self.m.begin, ids)
+        flat, ends = raw.tobytes(), at[begin].tolist()
+        return [flat[a + (flat[a : a + 1] == b" ") : b] if b > a else b"" for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
     def decode(self, ids: list[int]) -> str:
-        raw = b"".join(map(self.m.bytes.__getitem__, ids))
-        return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
+        return self.decode_many(np.array(ids, np.int64), np.array([0, len(ids)]))[0].decode("utf-8", "replace")
 
 
 class _Shared:
@@ -255,19 +280,21 @@ def _coder(shared) -> Coder:
 def encode_texts(docs: DataFrame, model_file: str | None = None) -> DataFrame:
     """``(doc_id, n_tokens, input_ids, ids_sha256, round_trip)``, a row per input row."""
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    bounded(spark)
     shared = _Shared(spark.sparkContext.broadcast(Unigram(model_file or tokenizer_path())))  # bounded by the vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(shared)
         for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            rows = coder.encode_many(texts)
-            n = [len(r) for r in rows]
-            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int32), *rows])))
-            sha = [hashlib.sha256(r.astype("<i4").tobytes()).hexdigest() for r in rows]
-            same = [coder.decode(r.tolist()) == t for r, t in zip(rows, texts, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), ids, pa.array(sha), pa.array(same)], ["doc_id", "n_tokens", "input_ids", "ids_sha256", "round_trip"])
+            raw = [encode(t) for t in b.column(1).to_pylist()]
+            for first, last in groups(raw):
+                texts = raw[first:last]
+                ids, begin = coder.encode_many(texts)
+                lists = pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(ids, pa.int32()))
+                little = ids.astype("<i4")
+                sha = [hashlib.sha256(little[a:z]).hexdigest() for a, z in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
+                same = [x == y for x, y in zip(coder.decode_many(ids, begin), texts, strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0)[first:last], pa.array(np.diff(begin), pa.int64()), lists, pa.array(sha, pa.string()), pa.array(same, pa.bool_())], ["doc_id", "n_tokens", "input_ids", "ids_sha256", "round_trip"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, input_ids array<int>, ids_sha256 string, round_trip boolean")
 
@@ -275,6 +302,7 @@ def encode_texts(docs: DataFrame, model_file: str | None = None) -> DataFrame:
 def decode_ids(rows: DataFrame, model_file: str | None = None) -> DataFrame:
     """``(doc_id, text)`` from ``(doc_id, input_ids)``; null ids decode to the empty text."""
     spark = rows.sparkSession
+    bounded(spark)
     shared = _Shared(spark.sparkContext.broadcast(Unigram(model_file or tokenizer_path())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
