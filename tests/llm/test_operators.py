@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontaminate, forest, minhash, passages, quality, sharding, suite, token_counts, unigram, url_filter, warc
+from corpusloom.llm import decontaminate, minhash, passages, quality, sharding, suite, token_counts, url_filter, warc
 from corpusloom.llm.scratch import Scratch
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, component_id long"
@@ -154,24 +154,6 @@ def test_warc(spark):
     assert got == {1: (1500, "revisit", 3), 2: (1500, "revisit", 3), 3: (1500, "response", None), 4: (0, "response", None), 5: (5, "response", None), 6: (5, "response", None), 7: (0, "response", None)}
 
 
-def test_nearest(spark):
-    rng = np.random.default_rng(3)
-    x = rng.standard_normal((600, 8)).astype(np.float32)
-    x[100:140] = x[0]
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(700, None), (720, [0.0] * 8), (740, [float("nan")] * 8), (760, []), (20, x[20].tolist())]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = defaultdict(list)
-    for r in forest.nearest(df, df.where("vec_id % 20 = 0"), n=5, shard_rows=200).orderBy("query_id", "rank").collect():
-        got[r["query_id"]].append((r["vec_id"], r["score"]))
-    hit = 0
-    for q, found in got.items():
-        s = x.astype(float) @ x[q].astype(float)
-        want = [i for i in np.lexsort((np.arange(600), -s)) if i != q][:5]
-        assert len(found) == 5 and all(abs(s[i] - v) < 1e-9 for i, v in found)
-        hit += len(set(want) & {i for i, _ in found})
-    assert len(got) == 30 and hit >= 0.9 * 150 and [i for i, _ in got[100]] == [0, 101, 102, 103, 104]
-
-
 def test_quality(spark, sf_dir):
     out = suite.QUERIES["op10_quality"](spark, sf_dir.replace("0.001", "0.01")).join(spark.read.parquet(sf_dir.replace("0.001", "0.01") + "/labels.parquet"), "doc_id").where("held_out").toPandas()
     assert (out.predicted == out.quality).mean() > 0.95
@@ -182,10 +164,8 @@ def test_quality(spark, sf_dir):
 
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
-    assert minhash.near_duplicates(none).count() == passages.find_passages(none).count() == token_counts.count_tokens(none).count() == unigram.encode_texts(none).count() == 0
+    assert minhash.near_duplicates(none).count() == passages.find_passages(none).count() == token_counts.count_tokens(none).count() == 0
     assert sharding.with_slots(sharding.assign(none, "doc_id", 3), "doc_id").count() == 0
-    v = spark.createDataFrame([], "vec_id long, embedding array<float>")
-    assert forest.nearest(v, v).count() == 0
     s = Scratch(spark)
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     upper = warc.write_index(warc.write_archives(pages, s), s, 2)
