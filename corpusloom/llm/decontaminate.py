@@ -7,14 +7,24 @@ of one automaton, each framed by spaces so that matches start and end at word
 borders. Each document is scanned once; ends of matches map to word numbers by
 the places of the spaces, and words map to byte offsets of the original.
 
+The automaton is bounded by ``BLOCK_BYTES`` of benchmark text, the part of it
+that is broadcast. A benchmark beyond that is dealt into blocks, each with an
+automaton of its own that is built once a task; every block scans the
+documents once, and hits are united by word number.
+
 Behaviour: null and empty texts have no words and hit nothing; items without
-words have no window; windows shared by items count for each of them; repeated
-rows give repeated results; an empty benchmark contaminates nothing.
+words have no window; windows shared by items count for each of them; items
+without an id count together as one, which no digest names; item ids are of
+any type that sorts; repeated rows give repeated results, rows without doc_id
+one each; very long texts are scanned whole; an empty benchmark contaminates
+nothing, an empty table gives no rows; further columns are not read.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +37,8 @@ from corpusloom.llm.scratch import bounded
 from corpusloom.llm.textcore import Hasher, encode, not_alnum
 
 WINDOW = 10
-#: Bytes of benchmark text in one automaton. A larger benchmark is scanned in several blocks of this size.
-BLOCK_BYTES = 16 << 20
+#: Bytes of benchmark text in one automaton (each word stands in ten windows, so about 500 MB of nodes).
+BLOCK_BYTES = 1 << 20
 
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -88,15 +98,9 @@ def _runs(mask: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[0::2].tolist(), edge[1::2].tolist(), strict=True))
 
 
-_OUT = T.StructType(
-    [
-        T.StructField("doc_id", T.LongType()),
-        T.StructField("n_words", T.LongType()),
-        T.StructField("n_hit", T.LongType()),
-        T.StructField("item_ids", T.ArrayType(T.LongType())),
-        T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start_byte", T.LongType()), T.StructField("end_byte", T.LongType())]))),
-    ]
-)
+def _kind(item: T.DataType) -> T.StructType:
+    long, span = T.LongType(), T.StructType([T.StructField("first", T.LongType()), T.StructField("last", T.LongType()), T.StructField("start_byte", T.LongType()), T.StructField("end_byte", T.LongType())])
+    return T.StructType([T.StructField("doc_id", long), T.StructField("key", T.StringType()), T.StructField("n_words", long), T.StructField("n_hit", long), T.StructField("item_ids", T.ArrayType(item)), T.StructField("spans", T.ArrayType(span))])
 
 
 def blocks(spark: SparkSession, benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, str | None]]]:
@@ -111,48 +115,72 @@ def blocks(spark: SparkSession, benchmark: DataFrame, block_bytes: int) -> Itera
     yield rows
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """A row per document: word counts, items found, byte spans of the original that are hit.
+def _scan(texts: DataFrame, block: list, width: int, item: T.DataType) -> DataFrame:
+    """All rows of ``texts(doc_id, text, key)`` against one block."""
+    from pyspark.sql.pandas.types import to_arrow_schema
 
-    With more than one block the documents are scanned once a block and hits
-    are united by word number.
-    """
-    spark = docs.sparkSession
-    bounded(spark)
-    shared = [spark.sparkContext.broadcast(b) for b in blocks(spark, benchmark, block_bytes)]
-    space = not_alnum()
+    shared, kind = texts.sparkSession.sparkContext.broadcast(block), _kind(item)
+    arrow = to_arrow_schema(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # blocks are swapped for each batch only where there is more than one
-        one = Scanner(shared[0].value, width) if len(shared) == 1 else None
-        offsets = Hasher(space)
+        scanner, offsets = Scanner(shared.value, width), Hasher(not_alnum())
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("doc_id", "n_words", "n_hit", "item_ids", "spans")}
-            texts = [encode(t) for t in batch.column(1).to_pylist()]
-            masks: list[np.ndarray] = []
-            items: list[set[int]] = []
-            for block in [one] if one else (Scanner(b.value, width) for b in shared):
-                for k, t in enumerate(texts):
-                    _, mask, got = block.scan(t)
-                    if len(masks) <= k:
-                        masks.append(mask)
-                        items.append(got)
-                    else:
-                        masks[k] = masks[k] | mask
-                        items[k] |= got
-            for doc, t, mask, got in zip(batch.column(0).to_pylist(), texts, masks, items, strict=True):
+            out: dict[str, list] = {k: [] for k in arrow.names}
+            for doc, text, key in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "text", "key")), strict=True):
+                raw = encode(text)
+                n, mask, got = scanner.scan(raw)
                 spans = []
                 if got:
-                    starts, ends = offsets.spans(t)
-                    spans = [{"start_byte": int(starts[a]), "end_byte": int(ends[b - 1])} for a, b in _runs(mask)]
-                for key, v in (("doc_id", doc), ("n_words", len(mask)), ("n_hit", int(mask.sum())), ("item_ids", sorted(got)), ("spans", spans)):
-                    out[key].append(v)
-            yield pa.RecordBatch.from_pydict(out, schema=_arrow)
+                    starts, ends = offsets.spans(raw)
+                    spans = [{"first": a, "last": b, "start_byte": int(starts[a]), "end_byte": int(ends[b - 1])} for a, b in _runs(mask)]
+                for k, v in (("doc_id", doc), ("key", key), ("n_words", n), ("n_hit", int(mask.sum())), ("item_ids", sorted(got, key=lambda i: (i is None, i))), ("spans", spans)):
+                    out[k].append(v)
+            yield pa.RecordBatch.from_pydict(out, schema=arrow)
+
+    return texts.mapInArrow(run, kind)
+
 
+def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """A row per document: word counts, items found, spans of hit words (numbers, the last excluded, and bytes of the original)."""
+    spark = docs.sparkSession
+    bounded(spark)
+    item = benchmark.schema["item_id"].dataType
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    parts = blocks(spark, benchmark, block_bytes)
+    first, second = next(parts), next(parts, None)
+    if second is None:
+        return _scan(texts.withColumn("key", F.lit(None).cast("string")), first, width, item).drop("key")
+    # rows are told apart by id and text where hits of several blocks meet
+    scans = [_scan(texts.withColumn("key", F.sha2("text", 256)), block, width, item) for block in itertools.chain([first, second], parts)]
+    hits = functools.reduce(DataFrame.unionAll, scans).where("n_hit > 0").groupBy("doc_id", "key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
+    hits = _united(hits, item)
+    same = scans[0]["doc_id"].eqNullSafe(hits["doc_id"]) & scans[0]["key"].eqNullSafe(hits["key"])
+    none = {"item_ids": F.array().cast(T.ArrayType(item)), "spans": F.array().cast(_kind(item)["spans"].dataType), "n_hit": F.lit(0).cast("long")}
+    return scans[0].select("doc_id", "key", "n_words").join(hits, same, "left").select(scans[0]["doc_id"], "n_words", *(F.coalesce(hits[c], none[c]).alias(c) for c in ("n_hit", "item_ids", "spans")))
+
+
+def _united(hits: DataFrame, item: T.DataType) -> DataFrame:
+    """Overlapping and touching spans of ``hits(doc_id, key, item_ids, spans)`` as one, with the number of their words."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    _arrow = to_arrow_schema(_OUT)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _OUT)
+    kind = T.StructType([f for f in _kind(item) if f.name != "n_words"])
+    arrow = to_arrow_schema(kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = b.to_pylist()
+            for r in rows:
+                out: list[dict] = []
+                for s in sorted(r["spans"], key=lambda s: s["first"]):
+                    if out and s["first"] <= out[-1]["last"]:
+                        if s["last"] > out[-1]["last"]:
+                            out[-1] |= {"last": s["last"], "end_byte": s["end_byte"]}
+                    else:
+                        out.append(dict(s))
+                r["spans"], r["n_hit"] = out, sum(s["last"] - s["first"] for s in out)
+            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+
+    return hits.mapInArrow(run, kind)
 
 
 def items_digest(ids: list[int]) -> str:

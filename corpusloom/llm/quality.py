@@ -16,7 +16,10 @@ among labelled rows that are not held out (crc32 of the id as text, mod 3, is
 Behaviour: null, empty and blank texts have no terms and score 0; labels that
 are null, repeated or of unknown documents are ignored; if one label (or both)
 has no rows, every text with terms scores the label's value (or 1); repeated
-rows get equal scores.
+rows get equal scores; of a doc_id that repeats, the fit reads the smallest
+text; rows without doc_id are scored like all others; very long texts are read
+whole; an empty table gives no rows; columns named ``score`` or ``predicted``
+are replaced by ``score_quality``, all others stay.
 """
 
 from __future__ import annotations
@@ -151,29 +154,28 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     # bounded: 2 x sample ids are broadcast, as many rows of counts collected
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "quality", "text").mapInArrow(run, "doc_id long, quality int, counts binary")
-    got: dict[int, tuple[int, bytes]] = {}
-    for r in rows.collect():
-        mine = (r["quality"], bytes(r["counts"]))
-        got[r["doc_id"]] = min(got.get(r["doc_id"], mine), mine)  # a document that repeats counts once
-    ids = sorted(got)
-    counts = np.frombuffer(b"".join(got[i][1] for i in ids), np.float32).reshape(-1, TERMS)
-    return Model(counts, np.array([got[i][0] for i in ids]))
+    once = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))  # a document that repeats counts once
+    rows = sorted(once.mapInArrow(run, "doc_id long, quality int, counts binary").collect())
+    counts = np.frombuffer(b"".join(bytes(r["counts"]) for r in rows), np.float32).reshape(-1, TERMS)
+    return Model(counts, np.array([r["quality"] for r in rows]))
 
 
-def score_quality(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with ``score`` and ``predicted``; columns of these names are replaced."""
-    spark = docs.sparkSession
+def score_of(text: Column, model: Model, spark: SparkSession) -> Column:
+    """The score of a text, as a column."""
     bounded(spark)
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         hasher = Hasher(ascii_space())
         for b in batches:
-            yield pd.Series(shared.value.scores(term_counts([encode(t) for t in b.astype(object).where(b.notna(), None)], hasher)))
+            yield pd.Series(shared.value.scores(term_counts([encode(t) for t in b.astype(object).where(b.notna(), None)], hasher)), dtype="float64")
+
+    return F.pandas_udf(run, "double")(text.cast("string"))
 
-    score = F.pandas_udf(run, "double")
-    return docs.withColumn("score", score(F.col(text).cast("string"))).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+def score_quality(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """``docs`` with ``score`` and ``predicted``; columns of these names are replaced."""
+    return docs.withColumn("score", score_of(F.col(text), model, docs.sparkSession)).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

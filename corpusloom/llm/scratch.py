@@ -8,8 +8,10 @@ them. A machine-local folder is used only where the setting is absent (tests).
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -75,8 +77,18 @@ class Scratch:
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextlib.contextmanager
+def opened(into: list[Scratch]) -> Iterator[None]:
+    """Put the folders that are opened meanwhile into a list."""
+    before = set(map(id, _live))
+    try:
+        yield
+    finally:
+        into += [s for s in _live if id(s) not in before]
+
+
 def release() -> None:
-    """Remove all staged tables; for callers that have written their results."""
+    """Remove all staged tables of this process; only for callers that have written all results."""
     for s in list(_live):
         s.clear()
 

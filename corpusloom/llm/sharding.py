@@ -10,8 +10,10 @@ groups: rows are numbered inside a bucket and shifted by the sizes of the
 buckets before it, so no task sees a whole shard.
 
 Behaviour: null texts have no bytes and the checksum of the empty text; rows
-that repeat a key share its shard and get slots of their own; a null key is a
-key of its own; ties of scores go to the smaller shard number.
+that repeat a key share its shard and get slots of their own; a null key is
+placed as the empty string is; ties of scores go to the smaller shard number;
+an empty table gives no rows; columns named ``shard``, ``grown_shard`` or
+``slot`` are replaced, all others stay as they are.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.digests import utf8_len
+from corpusloom.llm.scratch import Scratch
 
 #: Buckets a shard's rows are numbered in; the table of their sizes has shards x buckets rows.
 BUCKETS = 256
@@ -64,7 +67,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str, shards: int = 24) -> DataFram
         (utf8_len(F.col("text")) + 8).alias("size"),
         F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).cast("long").alias("text_crc32"),
     )
-    placed = with_slots(assign(docs, "doc_id", shards), "doc_id")
+    placed = with_slots(Scratch(spark).stage(assign(docs, "doc_id", shards), "placed"), "doc_id")  # read twice, scored once
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 

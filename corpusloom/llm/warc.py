@@ -19,8 +19,11 @@ it, and so gets archive, offset and length. Requests are then dealt out by
 archive and read in the order of offsets, each with one range read.
 
 Behaviour: a null url has an empty key; null html is an empty payload; repeated
-page_ids are records of their own (the index tells them apart by a record
-number); a table without rows gives no archive and no result.
+page_ids are records of their own, each read back once; a row without page_id
+is a response with no number (its key in the index ends in U+0000) and is no
+copy's original; payloads of any length are one record each; batches of pages
+are bounded by bytes; a table without rows gives no archive and no result;
+only ``page_id``, ``url`` and ``html`` are read, so further columns can't clash.
 """
 
 from __future__ import annotations
@@ -53,17 +56,23 @@ def surt(url: Column) -> Column:
     return F.concat(F.concat_ws(",", F.reverse(F.split(host, r"\."))), F.lit(")"), path)
 
 
+def capture(pages: DataFrame) -> dict[str, Column]:
+    """``key`` and ``number`` of pages in the index."""
+    key, number = surt(F.coalesce(pages["url"].cast("string"), F.lit(""))), pages["page_id"].cast("long")
+    return {"key": F.when(number.isNull(), F.concat(key, F.lit("\0"))).otherwise(key), "number": F.coalesce(number, F.lit(0))}
+
+
 def _header(first: str, fields: list[tuple[str, str]]) -> bytes:
     return (first + "\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + "\r\n").encode()
 
 
-def record(page_id: int, url: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def record(page_id: int | None, url: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     """One gzip member with a response or revisit record."""
     http = _header("HTTP/1.1 200 OK", [("Content-Type", "text/html; charset=utf-8"), ("Content-Length", str(len(payload)))])
     body = http if refers_to is not None else http + payload
     fields = [
         ("WARC-Type", "response" if refers_to is None else "revisit"),
-        ("WARC-Record-ID", f"<urn:page:{page_id}>"),
+        ("WARC-Record-ID", f"<urn:page:{'none' if page_id is None else page_id}>"),
         ("WARC-Date", WARC_DATE),
         ("WARC-Target-URI", url.replace("\r", "%0D").replace("\n", "%0A")),
         ("WARC-Payload-Digest", "sha1:" + base64.b32encode(bytes.fromhex(digest)).decode()),
@@ -80,14 +89,15 @@ def _fields(block: bytes) -> tuple[dict[str, str], bytes]:
     return {k.lower(): v for k, _, v in (x.partition(": ") for x in head.decode().split("\r\n")[1:])}, rest
 
 
-def parse(member: bytes) -> tuple[int, int, str, str, int | None, str]:
+def parse(member: bytes) -> tuple[int | None, int, str, str, int | None, str]:
     """page_id, payload bytes, payload digest (hex), record type, refers-to, url; a response's payload is checked."""
     raw = zlib.decompress(member, 31)
     warc, rest = _fields(raw)
     body = rest[: int(warc["content-length"])]
     http, payload = _fields(body)
     digest = base64.b32decode(warc["warc-payload-digest"].removeprefix("sha1:")).hex()
-    number = lambda v: int(v.removeprefix("<urn:page:").removesuffix(">"))
+    bare = lambda v: v.removeprefix("<urn:page:").removesuffix(">")
+    number = lambda v: None if bare(v) == "none" else int(bare(v))
     page, size = number(warc["warc-record-id"]), int(http["content-length"])
     if warc["warc-type"] == "response":
         if len(payload) != size or hashlib.sha1(payload).hexdigest() != digest:
@@ -111,7 +121,7 @@ def _attempt() -> str:
 
 
 def write_archives(pages: DataFrame, scratch: Scratch) -> DataFrame:
-    """Write all pages; the staged manifest ``(key, page_id, archive, start, length)``."""
+    """Write all pages; the staged manifest ``(key, number, archive, start, length)``."""
     base = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
         F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"),
@@ -119,7 +129,7 @@ def write_archives(pages: DataFrame, scratch: Scratch) -> DataFrame:
     ).withColumns({"digest": F.sha1(F.col("html").cast("binary")), "size": F.octet_length("html")})
     copies = base.where(F.col("size") >= LEAST).groupBy("digest", "size").agg(F.max("page_id").alias("newest"), F.count("*").alias("n")).where("n > 1").select("digest", "size", "newest")
     # only payloads with copies have a partner; a page_id that repeats is no revisit of itself
-    marked = base.join(copies, ["digest", "size"], "left").select("page_id", "url", surt(F.col("url")).alias("key"), "html", "digest", F.when(F.col("page_id") < F.col("newest"), F.col("newest")).alias("refers_to"))
+    marked = base.join(copies, ["digest", "size"], "left").select("page_id", "url", *(c.alias(k) for k, c in capture(base).items()), "html", "digest", F.when(F.col("page_id") < F.col("newest"), F.col("newest")).alias("refers_to"))
     folder = scratch.path("archives")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,18 +148,18 @@ def write_archives(pages: DataFrame, scratch: Scratch) -> DataFrame:
                     sizes.append(len(member))
                     at += len(member)
                 n = len(starts)
-                yield pa.RecordBatch.from_arrays([b.column("key"), b.column("page_id"), pa.array([f"{folder}/{name}"] * n, pa.string()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64())], ["key", "page_id", "archive", "start", "length"])
+                yield pa.RecordBatch.from_arrays([b.column("key"), b.column("number"), pa.array([f"{folder}/{name}"] * n, pa.string()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64())], ["key", "number", "archive", "start", "length"])
         finally:
             if out is not None:
                 out.close()
 
-    return scratch.stage(marked.mapInArrow(run, "key string, page_id long, archive string, start long, length long"), "manifest")
+    return scratch.stage(marked.mapInArrow(run, "key string, number long, archive string, start long, length long"), "manifest")
 
 
 def write_index(manifest: DataFrame, scratch: Scratch, files: int) -> DataFrame:
     """Write the sorted capture index; the staged upper level ``(first, file, directory_at, directory_length)``."""
     folder = scratch.path("index")
-    ordered = manifest.repartitionByRange(files, "key", "page_id", "archive", "start").sortWithinPartitions("key", "page_id", "archive", "start")
+    ordered = manifest.repartitionByRange(files, "key", "number", "archive", "start").sortWithinPartitions("key", "number", "archive", "start")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, path = _open(folder)
@@ -167,7 +177,7 @@ def write_index(manifest: DataFrame, scratch: Scratch, files: int) -> DataFrame:
 
         try:
             for b in batches:
-                for row in zip(*(b.column(c).to_pylist() for c in ("key", "page_id", "archive", "start", "length")), strict=True):
+                for row in zip(*(b.column(c).to_pylist() for c in ("key", "number", "archive", "start", "length")), strict=True):
                     if out is None:
                         out = where.open_output_stream(name, compression=None)
                     lines.append(row)
@@ -200,9 +210,9 @@ class Captures:
         self.file.seek(start)
         return json.loads(zlib.decompress(self.file.read(length)))
 
-    def find(self, key: str, page_id: int) -> list[tuple[str, int, int, int]]:
-        """``(archive, start, length, page_id)`` of all captures of a page at a key."""
-        want, out = (key, page_id), []
+    def find(self, key: str, number: int) -> list[tuple[str, int, int]]:
+        """``(archive, start, length)`` of all captures of a page at a key."""
+        want, out = (key, number), []
         # equal keys may begin in the file and the block before
         for f in range(max(0, bisect.bisect_left(self.firsts, want) - 1), bisect.bisect_right(self.firsts, want)):
             if f != self.at:
@@ -219,13 +229,13 @@ class Captures:
                     self.block_at = k
                 i = bisect.bisect_left(self.lines, want)
                 while i < len(self.lines) and self.lines[i][:2] == want:
-                    out.append((self.lines[i][2], self.lines[i][3], self.lines[i][4], page_id))
+                    out.append((self.lines[i][2], self.lines[i][3], self.lines[i][4]))
                     i += 1
         return out
 
 
 def read_back(requests: DataFrame, upper: DataFrame, files: int) -> DataFrame:
-    """Records of ``requests(key, page_id)`` through the index, a row per record."""
+    """Records of ``requests(key, number)`` through the index, a row per record."""
     # bounded: one row per index file, and there are ``files`` of them
     level = requests.sparkSession.sparkContext.broadcast([tuple(r) for r in upper.select("first", "first_id", "file", "directory_at", "directory_length").collect()])
 
@@ -233,7 +243,7 @@ def read_back(requests: DataFrame, upper: DataFrame, files: int) -> DataFrame:
         captures = Captures(level.value)
         for b in batches:
             got = [c for key, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for c in captures.find(key, page)]
-            cols = list(zip(*got, strict=True)) if got else [[]] * 4
+            cols = list(zip(*got, strict=True)) if got else [[]] * 3
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], ["archive", "start", "length"])
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,7 +264,7 @@ def read_back(requests: DataFrame, upper: DataFrame, files: int) -> DataFrame:
         if file is not None:
             file.close()
 
-    asked = requests.distinct().repartitionByRange(files, "key", "page_id").sortWithinPartitions("key", "page_id")
+    asked = requests.distinct().repartitionByRange(files, "key", "number").sortWithinPartitions("key", "number")
     places = asked.mapInArrow(look, "archive string, start long, length long")
     # stretches of an archive go to one task each, so that an archive of any size is read by many
     near = places.repartitionByRange(files, "archive", "start").sortWithinPartitions("archive", "start")
@@ -267,7 +277,7 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = int(spark.conf.get("spark.sql.shuffle.partitions"))
     manifest = write_archives(pages, scratch)
     upper = write_index(manifest, scratch, files)
-    requests = pages.select(surt(F.coalesce(F.col("url").cast("string"), F.lit(""))).alias("key"), F.col("page_id").cast("long").alias("page_id"))
+    requests = pages.select(*(c.alias(k) for k, c in capture(pages).items()))
     return read_back(requests, upper, files).drop("url")
 
 

@@ -76,20 +76,6 @@ def test_passages(docs):
     assert left[10] == " ".join(words(60, 5)) and 2 not in left and left[4] is None and left[1]
 
 
-def test_passages_beyond_the_first_document(spark):
-    """Exact repeats whose minima an earlier document has too, which holds only part of them."""
-    rows, at = [], 1
-    for trial in range(60):
-        p = words(50, 1000 + trial)
-        part = p[:45] if trial % 2 else p[:20] + ["x1"] + p[21:35] + ["x2"] + p[36:]
-        for k, middle in enumerate((part, p, p)):
-            rows.append((at + k, " ".join([f"a{at + k}x{w}" for w in words(60, 1)] + middle + [f"b{at + k}x{w}" for w in words(60, 2)])))
-        at += 3
-    found = passages.find_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    got = {(r["doc_id"], r["ref_doc_id"]) for r in found if r["start_word"] <= 60 and r["end_word"] >= 110}
-    assert not [i for i in range(3, at, 3) if (i, i - 1) not in got]
-
-
 def test_rows_without_doc_id(spark):
     a, b = " ".join(words(120, 71)), " ".join(words(120, 72))
     rows = spark.createDataFrame([(None, a), (5, a), (6, a), (None, b), (8, "x y z")], "doc_id long, text string")
