@@ -24,7 +24,7 @@ def _large(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     # every link has its larger end in ``u``, so larger neighbours of a vertex are found from its ``v`` side
-    return edges.join(least.withColumnRenamed("u", "v"), "v").where(F.col("u") > F.col("m")).select("u", F.col("m").alias("v")).distinct()
+    return edges.join(least.withColumnRenamed("u", "v"), "v").where(F.col("u") > F.col("m")).select("u", F.col("m").alias("v"))  # repeats go in the small star
 
 
 def _small(edges: DataFrame) -> DataFrame:

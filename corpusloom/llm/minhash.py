@@ -4,15 +4,15 @@
    digest of the set, and a signature of minima. Texts with equal sets are one
    class; only its smallest id goes on.
 2. Signatures are cut into bands. Classes that agree on a band are in a
-   bucket; a bucket pairs each member with one pseudo-random leader of its own,
-   so a bucket of n members gives n pairs at most.
+   bucket; a bucket pairs each member with ``LEADERS`` leaders, the members that
+   come first by a hash of the id, so n members give LEADERS x n pairs at most,
+   and buckets of the same documents give the same ones.
 3. Each pair's signatures are compared batch by batch. After n hashes with m
    agreements a pair is dropped when, under the Beta posterior of a uniform
    prior, P(similarity >= threshold) is below ``miss``. Survivors are checked
    on their full sets.
 4. Components of the confirmed links are found. Buckets whose members are all
-   in one component are done: more links can't change anything. The others get
-   new leaders for a second round.
+   in one component are done: more links can't change anything.
 5. What is left are mostly documents near a large component but not of it. For
    each the shingles that another component has too are counted, in 32 classes
    of the shingle's hash. Two sets can't share more than the sum over classes
@@ -23,8 +23,11 @@
 
 Behaviour: null and empty texts and those without words have empty sets and
 link with nothing; texts of fewer than five words have one shingle, the whole
-sequence; repeated rows give a row each; equal doc_ids are one document. Only
-``doc_id`` and ``text`` are read, so further columns can't clash.
+sequence; very long texts are read whole; repeated rows give a row each; equal
+doc_ids are one document, of whose texts that of the smallest digest is linked;
+a row without doc_id names no component: it gets that of documents with equal
+text, else null; an empty table gives no rows. Only ``doc_id`` and ``text`` are
+read, so further columns can't clash.
 """
 
 from __future__ import annotations
@@ -46,8 +49,8 @@ from corpusloom.llm.textcore import Hasher, ascii_space, encode, mix, sets, shin
 HASHES, BANDS, BATCH = 128, 32, 32
 #: Chance at which a pair is given up before its exact check, for a pair at the threshold.
 MISS = 1e-6
-#: Rounds that link members of a bucket with one leader, before the rest is compared in full.
-ROUNDS = 2
+#: Members of a bucket that all others are compared with first.
+LEADERS = 4
 #: Classes of shingles in which the bound on an intersection is summed.
 CLASSES = 32
 #: As many document ids are broadcast at most (16 MB); more are joined by a shuffle.
@@ -218,8 +221,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, miss: fl
     per_band = HASHES // BANDS
     keys = F.array(*(F.xxhash64(F.lit(k), F.substring("signature", 4 * per_band * k + 1, 4 * per_band)) for k in range(BANDS)))
     bands = nodes.select("node", F.explode(keys).alias("band"))
-    shared = bands.groupBy("band").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last").select("band")
-    members = scratch.stage(bands.join(shared, "band", "left_semi"), "members")  # only buckets with more than one class
+    first = lambda k: F.min(F.struct(F.xxhash64("node", F.lit(k)), "node"))["node"]
+    leaders = bands.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.array_distinct(F.array(*(first(k) for k in range(LEADERS)))).alias("leaders")).where("lo < hi").select("band", "leaders")
+    members = scratch.stage(bands.join(leaders, "band"), "members")  # only buckets with more than one class
 
     wanted = scratch.stage(members.select(F.col("node").alias("doc_id")).distinct(), "wanted")
     ids = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
@@ -227,30 +231,24 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, miss: fl
     own = shingle_sets(texts.join(ids, "doc_id", "left_semi"), width).join(known, ["doc_id", "digest"], "left_semi")
     items = scratch.stage(own.dropDuplicates(["doc_id", "digest"]).select(F.col("doc_id").alias("node"), "items"), "sets")
 
-    tried = links = None
-    found = nodes.select("node", F.col("node").alias("component"))
-    for k in range(ROUNDS + 1):
-        labelled = scratch.stage(members.join(found, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component")), "labelled")
-        lead = labelled.groupBy("band").agg(
-            F.min("component").alias("lo"),
-            F.max("component").alias("hi"),
-            F.min(F.struct(F.xxhash64("node", "band", F.lit(k)).alias("order"), "node", "component")).alias("lead"),
-        )
-        lead = lead.where("lo < hi").select("band", F.col("lead.node").alias("other"), F.col("lead.component").alias("theirs"))
-        if k < ROUNDS:
-            pairs = labelled.join(lead, "band").where("component <> theirs").select("node", "other")
-        else:  # whatever is left, unless the bound excludes it
-            rest = scratch.stage(labelled.join(lead.select("band"), "band", "left_semi"), "mixed")
-            counts = scratch.stage(outside_counts(rest.select("node", "component").distinct(), items), "counts")
-            pairs = open_pairs(rest, counts, percent)
-        fresh = pairs.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
-        fresh = scratch.stage(fresh if tried is None else fresh.join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried = fresh if tried is None else tried.unionAll(fresh)
-        more = scratch.stage(confirmed(survivors(fresh, nodes, threshold, miss, least), items, percent), "links")
-        if not more.isEmpty():
-            links = more if links is None else links.unionAll(more)
-            found = scratch.stage(connected_components(links, scratch), "components")
-        scratch.drop(labelled)
+    def ordered(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        return scratch.stage(confirmed(survivors(pairs, nodes, threshold, miss, least), items, percent), "links")
+
+    tried = scratch.stage(ordered(members.select("node", F.explode("leaders").alias("other")).where("node <> other")), "pairs")
+    links = linked(tried)
+    found = scratch.stage(connected_components(links, scratch), "components")
+
+    # whatever is left, unless the bound excludes it
+    labelled = scratch.stage(members.select("band", "node").join(found, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component")), "labelled")
+    mixed = labelled.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
+    rest = scratch.stage(labelled.join(mixed, "band", "left_semi"), "mixed")
+    counts = scratch.stage(outside_counts(rest.select("node", "component").distinct(), items), "counts")
+    more = linked(scratch.stage(ordered(open_pairs(rest, counts, percent)).join(tried, ["a", "b"], "left_anti"), "open"))
+    if not more.isEmpty():
+        found = scratch.stage(connected_components(links.unionAll(more), scratch), "components")
 
     label = nodes.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     out = sketched.select("doc_id", "n_shingles", "digest").join(label, "digest", "left")
