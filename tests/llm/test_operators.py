@@ -105,10 +105,33 @@ def test_compact_windows(top):
 def test_decontamination(spark, docs):
     passage = docs.where("doc_id = 9").first()["text"].split()[150:230]
     bench = spark.createDataFrame([(5, " ".join(passage[:12]).upper()), (6, "Two words!"), (7, None), (8, ""), (9, " ".join(passage[3:14]))], "item_id long, text string")
-    for block in (1 << 20, 10):
+    for block in (1 << 20, 10):  # one automaton, or one an item
         got = {r["doc_id"]: r for r in decontaminate.find_contamination(docs, bench, block_bytes=block).collect()}
         assert (got[9]["n_hit"], got[9]["item_ids"]) == (14, [5, 9]) and got[7]["item_ids"] == [6] and got[4]["n_words"] == 0 and got[1]["n_hit"] == 0
+        assert len(got) == 13 and [(p["first"], p["last"]) for p in got[9]["spans"]] == [(150, 164)]
     assert decontaminate.find_contamination(docs, bench.limit(0)).where("n_hit > 0").count() == 0
+    odd = spark.createDataFrame([(None, "two words"), ("x", " ".join(passage[:12])), (None, " ".join(passage[20:31]))], "item_id string, text string")
+    clash = docs.where("doc_id in (7, 9)").withColumn("n_words", F.lit(-1)).withColumn("key", F.lit("k"))
+    for block in (1 << 20, 10):
+        got = {r["doc_id"]: r for r in decontaminate.find_contamination(clash.unionByName(clash.withColumn("doc_id", F.lit(None).cast("long"))), odd, block_bytes=block).collect()}
+        assert got[9]["item_ids"] == ["x", None] and got[9]["n_hit"] == 23 and got[7]["item_ids"] == [None] and got[None]["n_words"] > 0
+
+
+def test_decontamination_by_brute_force(spark):
+    r = random.Random(11)
+    text = lambda n: " ".join(r.choice("abc") for _ in range(n))
+    items, rows = [(i, text(r.randrange(1, 14))) for i in range(12)], [(i, text(r.randrange(0, 40))) for i in range(30)]
+    got = {q["doc_id"]: (q["n_words"], q["n_hit"], q["item_ids"]) for q in decontaminate.find_contamination(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), width=4, block_bytes=300).collect()}
+    for i, t in rows:
+        w, hit, named = t.split(), set(), set()
+        for k, p in items:
+            v = p.split()
+            n = min(4, len(v))
+            wins = {tuple(v[j : j + n]) for j in range(len(v) - n + 1)}
+            at = [j for j in range(len(w) - n + 1) if tuple(w[j : j + n]) in wins]
+            hit |= {j + x for j in at for x in range(n)}
+            named |= {k} if at else set()
+        assert got[i] == (len(w), len(hit), sorted(named))
 
 
 def test_urls(spark):
@@ -131,13 +154,13 @@ def test_sharding(docs):
 
 def test_warc(spark):
     big = "a" * 1500
-    rows = [(1, "http://a.com/x", big), (2, "http://b.com/", big), (3, None, big), (4, "http://a.com/x", None), (5, "é://ü/\n", "short"), (6, "http://a.com/x", "short"), (7, "http://a.com/x", "")]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    rows = [(1, "http://a.com/x", big), (2, "http://b.com/", big), (3, None, big), (4, "http://a.com/x", None), (5, "é://ü/\n", "short"), (6, "http://a.com/x", "short"), (7, "http://a.com/x", ""), (None, "http://a.com/x", big)]
+    pages = spark.createDataFrame([(*r, "clash", 1) for r in rows], "page_id long, url string, html string, key string, number int").repartition(3)
     s = Scratch(spark)
     upper = warc.write_index(warc.write_archives(pages, s), s, 2)
-    ask = pages.select(warc.surt(F.coalesce("url", F.lit(""))).alias("key"), "page_id")
+    ask = pages.select(*(c.alias(k) for k, c in warc.capture(pages).items()))
     got = {r["page_id"]: (r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.read_back(ask, upper, 2).collect()}
-    assert got == {1: (1500, "revisit", 3), 2: (1500, "revisit", 3), 3: (1500, "response", None), 4: (0, "response", None), 5: (5, "response", None), 6: (5, "response", None), 7: (0, "response", None)}
+    assert got == {None: (1500, "response", None), 1: (1500, "revisit", 3), 2: (1500, "revisit", 3), 3: (1500, "response", None), 4: (0, "response", None), 5: (5, "response", None), 6: (5, "response", None), 7: (0, "response", None)}
 
 
 def test_quality(spark, sf_dir):
@@ -148,6 +171,30 @@ def test_quality(spark, sf_dir):
     assert [r["score"] for r in quality.score_quality(docs, quality.fit(docs, none)).orderBy("doc_id").collect()] == [0.0, 0.0, 1.0]
 
 
+def test_quality_votes(spark):
+    """Scores against a plain loop over all labelled vectors; repeated rows, ids and clashing columns."""
+    from corpusloom.llm.textcore import Hasher, ascii_space
+
+    rng = random.Random(5)
+    good, junk = (lambda: " ".join(words(40, rng.random()))), (lambda: "!!! $$$ " * rng.randrange(5, 30))
+    rows = [(i, good() if i % 2 else junk()) for i in range(400)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)] + [(7, 1), (None, 0), (9999, 1)], "doc_id long, quality int")
+    docs = spark.createDataFrame(rows + [(7, rows[7][1])] * 3 + [(None, "null id")], "doc_id long, text string").withColumn("score", F.lit(-7.0))
+    model = quality.fit(docs, labels)
+    counts = quality.term_counts([t.encode() for _, t in rows], Hasher(ascii_space()))
+    unit = lambda v: v / max(np.linalg.norm(v), 1e-30)
+    vectors, near = np.array([unit(v) for v in model._weigh(counts) @ model.basis]), quality.NEIGHBOURS
+    want = []
+    for v in vectors:
+        cosine = [float(v @ x) for x in model.vectors]
+        best = sorted(range(len(cosine)), key=lambda k: -cosine[k])[:near]
+        weight = [max(cosine[k], 1e-3) ** quality.POWER for k in best]
+        want.append(sum(w * model.labels[k] for w, k in zip(weight, best)) / sum(weight))
+    got = {r["doc_id"]: r["score"] for r in quality.score_quality(docs, model).collect()}
+    assert len(got) == 401 and max(abs(got[i] - want[i]) for i in range(400)) < 1e-3
+    assert np.mean([(got[i] >= 0.5) == (i % 2) for i in range(400)]) > 0.99
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     assert minhash.near_duplicates(none).count() == passages.find_passages(none).count() == token_counts.count_tokens(none).count() == 0
@@ -155,7 +202,11 @@ def test_empty_tables(spark, docs):
     s = Scratch(spark)
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     upper = warc.write_index(warc.write_archives(pages, s), s, 2)
-    assert warc.read_back(pages.select(warc.surt(F.col("url")).alias("key"), "page_id"), upper, 2).count() == 0
+    assert warc.read_back(pages.select(*(c.alias(k) for k, c in warc.capture(pages).items())), upper, 2).count() == 0
+    bench = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
+    assert decontaminate.find_contamination(none, bench).count() == url_filter.filter_urls(pages).count() == 0
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    assert quality.score_quality(none, quality.fit(none, labels)).count() == 0
 
 
 @pytest.mark.parametrize("name", list(suite.ORACLE_SQL))
@@ -166,10 +217,3 @@ def test_sql(spark, sf_dir, name):
     want = con.sql(suite.ORACLE_SQL[name])
     cols = want.columns
     assert sorted(map(repr, (tuple(r) for r in suite.QUERIES[name](spark, sf_dir).select(*cols).collect()))) == sorted(map(repr, want.fetchall()))
-
-
-def test_pipeline(spark, sf_dir):
-    import corpus_pipeline
-
-    out = corpus_pipeline.run(spark, sf_dir)
-    assert 0 < out.count() <= 200 and out.where("n_tokens <> size(input_ids)").count() == 0
