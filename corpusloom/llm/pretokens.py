@@ -18,7 +18,7 @@ from corpusloom.llm.piecemodels import MARK
 
 _MARK_BYTES = MARK.encode()
 #: Texts are taken together up to this size; a longer one alone.
-GROUP_BYTES = 1 << 22
+GROUP_BYTES = 1 << 20
 
 
 def groups(texts: list[bytes], most: int = GROUP_BYTES) -> Iterator[tuple[int, int]]:
