@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,12 +14,9 @@ SPACE = r"[\p{IsWhite_Space}\x1c-\x1f]+"
 #: The same class for RE2, in SQL twins.
 SPACE_RE2 = r"[\s\x{0b}\x{85}\x{a0}\x{1c}-\x{1f}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 #: What full case folding makes of characters that lower-casing leaves.
-FOLDS = {"ß": "ss", "ẞ": "ss", "ſ": "s", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
+FOLDS = {"ß": "ss", "ẞ": "ss", "ſ": "s", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", "ŉ": "ʼn", "ǰ": "ǰ", "ẖ": "ẖ", "ẗ": "ẗ", "ẘ": "ẘ", "ẙ": "ẙ", "ẚ": "aʾ"}
 #: Words that stay small inside a title.
 SMALL_WORDS = "a an and as at but by for from in into nor of on onto or over the to up with".split()
-#: Latin-1 letters and their ASCII base.
-ACCENTED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy"
 
 
 def c(x: Column | str) -> Column:
@@ -57,13 +58,28 @@ def loose_tag(x: Column | str) -> Column:
     return F.lower(F.trim(F.regexp_replace(F.translate(c(x), "   ", "   "), r"\s+", " ")))
 
 
+def plain_ascii(x: Column | str) -> Column:
+    """The ASCII that compatibility decomposition leaves. Only texts with other characters go through Python."""
+
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode())
+
+    t = c(x)
+    odd = t.rlike(r"[^\x00-\x7f]")
+    return F.when(odd, F.pandas_udf(run, "string")(F.when(odd, t))).otherwise(t)
+
+
 def slug(x: Column | str, apostrophe: str = "") -> Column:
-    """URL name of a Latin-1 text; ``apostrophe`` replaces quotes inside words."""
-    ascii_only = F.regexp_replace(F.translate(c(x), ACCENTED, PLAIN), r"[^\x00-\x7f]", "")
-    dashed = F.regexp_replace(F.regexp_replace(ascii_only, "['`]", apostrophe), "[^A-Za-z0-9]+", "-")
+    """URL name of a text; ``apostrophe`` replaces quotes inside words."""
+    dashed = F.regexp_replace(F.regexp_replace(plain_ascii(x), "['`]", apostrophe), "[^A-Za-z0-9]+", "-")
     return F.coalesce(F.nullif(F.lower(F.regexp_replace(dashed, "^-+|-+$", "")), F.lit("")), F.lit("untitled"))
 
 
+def squash(x: Column | str) -> Column:
+    """Comparison form: ASCII, lower case, words apart by single spaces."""
+    return F.trim(F.regexp_replace(F.lower(plain_ascii(x)), "[^a-z0-9_]+", " "))
+
+
 def strip_controls(x: Column | str) -> Column:
     return F.regexp_replace(F.translate(c(x), "\t\r\n", "   "), r"[\x00-\x1f\x7f\u0080-\u009f]", "")
 
@@ -96,10 +112,39 @@ def clean_quote(x: Column | str) -> Column:
     return squeeze(F.regexp_replace(c(x), r"\[?\d+:\d\d(:\d\d)?\]?", " "))
 
 
-def sentences(x: Column | str) -> Column:
-    """Sentences of a text: terminator, closers, white space, then a capital or digit."""
+def _chunks(piece: Column, most: int, full: int) -> Column:
+    """A piece of more than ``most`` characters in runs of words that pass ``full``."""
+    words = F.filter(F.split(piece, SPACE), lambda w: w != "")
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"), F.lit(0).alias("n"))
+
+    def add(state: Column, word: Column) -> Column:
+        line = F.when(state["open"] == "", word).otherwise(F.concat(state["open"], F.lit(" "), word))
+        n = state["n"] + F.length(word) + 1
+        return F.when(n > full, F.struct(F.concat(state["done"], F.array(line)).alias("done"), F.lit("").alias("open"), F.lit(0).alias("n"))).otherwise(F.struct(state["done"].alias("done"), line.alias("open"), n.alias("n")))
+
+    end = lambda s: F.when(s["open"] == "", s["done"]).otherwise(F.concat(s["done"], F.array(s["open"])))
+    return F.when(F.length(piece) > most, F.aggregate(words, start, add, end)).otherwise(F.array(piece))
+
+
+def sentences(x: Column | str, most: int = 320, full: int = 240) -> Column:
+    """Sentences of a text: terminator, closers, white space, then a capital or digit; those over ``most`` characters in chunks."""
     marked = F.regexp_replace(c(x), r"(\.\.[.!?])\s+|([.!?])[\"')\]]*\s+([\"'(\[]*[A-Z0-9])", "$1$2\u0001$3")
-    return F.filter(F.transform(F.split(marked, "\u0001"), F.trim), lambda s: s != "")
+    whole = F.filter(F.transform(F.split(marked, "\u0001"), F.trim), lambda s: s != "")
+    return F.flatten(F.transform(whole, lambda s: _chunks(s, most, full)))
+
+
+def numbered(pieces: Column | str, name: Callable[[Column], Column], text: Callable[[Column], Column]) -> Column:
+    """Lines of a transcript, each with its id in brackets."""
+    return F.transform(c(pieces), lambda p: F.concat(F.lit("["), name(p), F.lit("] "), text(p)))
+
+
+def truncate(x: Column | str, n: int) -> Column:
+    return F.substring(c(x), 1, n)
+
+
+def release_date(x: Column | str) -> Column:
+    """A leading ``YYYY[-MM[-DD]]``; else empty."""
+    return F.regexp_extract(c(x), r"^\s*([0-9]{4}(?:-[0-9]{2}(?:-[0-9]{2})?)?)", 1)
 
 
 def machine_made(title: Column | str) -> Column:
@@ -157,5 +202,9 @@ def first_line(x: Column | str) -> Column:
 
 
 def json_part(x: Column | str) -> Column:
-    """The outermost braces of a reply."""
-    return F.regexp_extract(c(x), r"(?s)(\{.*\})", 1)
+    """The JSON object of a reply: the whole of it without a fence, else its outermost braces; null if neither parses."""
+    t = F.trim(c(x))
+    bare = F.regexp_extract(t, r"(?s)^```[a-zA-Z]*\s*(.*?)\s*```$", 1)
+    whole, braces = F.coalesce(F.nullif(bare, F.lit("")), t), F.regexp_extract(t, r"(?s)(\{.*\})", 1)
+    parses = lambda j: F.coalesce(F.get_json_object(j, "$").startswith("{"), F.lit(False))
+    return F.when(parses(whole), whole).when(parses(braces), braces)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import SPACE_RE2, base_of, casefold, squeeze, stem_of
@@ -91,15 +91,28 @@ def q_blake(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.pandas_udf(digest, "string")(casefold(squeeze("text"))).alias("content_key"))
 
 
+def ranked_in_groups(rows: DataFrame, group: str, coarse: list[F.Column], fine: list[F.Column]) -> DataFrame:
+    """``rows`` with ``rank`` in their group by ``coarse`` then ``fine``. Rows are numbered inside a (group, coarse) bucket and shifted by the buckets before it, so no task sorts a whole group."""
+    keys = [f"__k{i}" for i in range(len(coarse))]
+    spread = rows.withColumns(dict(zip(keys, coarse, strict=True)))
+    sizes = spread.groupBy(group, *keys).agg(F.count("*").alias("__n"))
+    shift = sizes.select(F.col(group).alias("__g"), *(F.col(k).alias(f"{k}s") for k in keys), (F.sum("__n").over(Window.partitionBy(group).orderBy(*keys)) - F.col("__n")).alias("__shift"))
+    same = F.col(group).eqNullSafe(F.col("__g"))
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"{k}s"))
+    numbered = spread.withColumn("__at", F.row_number().over(Window.partitionBy(group, *keys).orderBy(*fine)))
+    return numbered.join(shift, same).withColumn("rank", (F.col("__at") + F.col("__shift")).cast("int")).drop("__at", "__shift", "__g", *keys, *(f"{k}s" for k in keys))
+
+
 @DEDUPE.query(
     "richness_rank",
-    "SELECT doc_id, source, rank FROM (SELECT doc_id, source, CAST(row_number() OVER (PARTITION BY source ORDER BY coalesce(quality, 0) DESC, coalesce(toxic, 0) DESC, length(text) DESC, doc_id) AS INTEGER) AS rank FROM documents LEFT JOIN labels USING (doc_id)) WHERE rank <= 5",
+    "SELECT doc_id, source, CAST(row_number() OVER (PARTITION BY source ORDER BY coalesce(quality, 0) DESC, coalesce(toxic, 0) DESC, length(text) DESC, doc_id) AS INTEGER) AS rank FROM documents LEFT JOIN labels USING (doc_id)",
 )
 def q_richness(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("source").orderBy(F.desc(F.coalesce("quality", F.lit(0))), F.desc(F.coalesce("toxic", F.lit(0))), F.desc(F.length("text")), "doc_id")
-    return table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left").withColumn("rank", F.row_number().over(w)).where("rank <= 5").select("doc_id", "source", "rank")
+    """The rank of every document in its source."""
+    j = table(spark, d, "documents").select("doc_id", "source", F.length("text").alias("n")).join(table(spark, d, "labels"), "doc_id", "left")
+    coarse = [-F.coalesce("quality", F.lit(0)), -F.coalesce("toxic", F.lit(0)), -F.floor(F.col("n") / 64)]
+    return ranked_in_groups(j, "source", coarse, [F.desc("n"), F.col("doc_id")]).select("doc_id", "source", "rank")
 
 
 @DEDUPE.query("stem_bases", "SELECT page_id, regexp_replace(regexp_extract(url, '([^/]*)$', 1), '\\.[^.]*$', '') AS stem, regexp_replace(regexp_replace(regexp_extract(url, '([^/]*)$', 1), '\\.[^.]*$', ''), '-[0-9]+$', '') AS base FROM pages")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import first_line, portable, prose, slug, strip_controls, squeeze, tidy_case, title_parts, unrun, machine_made, not_a_title, SPACE_RE2
+from corpusloom.functions.text import first_line, portable, prose, slug, squash, strip_controls, squeeze, tidy_case, title_parts, unrun, machine_made, not_a_title, SPACE_RE2
 from corpusloom.plans.catalogue import Catalogue, table
 
 MATCHING = Catalogue()
@@ -176,18 +176,27 @@ def q_stems(spark: SparkSession, d: str) -> DataFrame:
     return unique_stems(table(spark, d, "part").select(F.col("p_brand").alias("author"), F.col("p_partkey").alias("pos"), slug(squeeze("p_name")).alias("stem")))
 
 
-def unique_stems(wanted: DataFrame) -> DataFrame:
-    """``(author, pos, stem, unique)``: names in order of ``pos``; taken ones get -0, -1, ... (stateful within an author)."""
+def unique_stems(wanted: DataFrame, most: int = 1000) -> DataFrame:
+    """``(author, pos, stem, unique)``: names in order of ``pos``; taken ones get -0, -1, ... (stateful within an author), up to ``most``."""
     import pandas as pd
 
     def name(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken, out = set(), []
+        taken, following, out = set(), {}, []
         for stem in pdf.sort_values("pos").stem:
-            got, n = stem, 0
+            got, n = stem, following.get(stem, 0)  # all lower numbers are taken
             while got in taken:
+                if n > most:
+                    raise ValueError(f"no free name for {stem}")
                 got, n = f"{stem}-{n}", n + 1
+            following[stem] = n
             taken.add(got)
             out.append(got)
         return pdf.sort_values("pos").assign(unique=out)
 
     return wanted.groupBy("author").applyInPandas(name, "author string, pos long, stem string, unique string")
+
+
+@MATCHING.query("squash_titles", "SELECT page_id, trim(regexp_replace(lower(regexp_replace(url, '[^\\x00-\\x7f]', '', 'g')), '[^a-z0-9_]+', ' ', 'g')) AS squashed FROM pages WHERE NOT regexp_matches(url, '[^\\x00-\\x7f]')")
+def q_squash(spark: SparkSession, d: str) -> DataFrame:
+    """Comparison form of ASCII urls."""
+    return table(spark, d, "pages").where(~F.col("url").rlike(r"[^\x00-\x7f]")).select("page_id", squash("url").alias("squashed"))

@@ -8,6 +8,7 @@ from graphlib import CycleError, TopologicalSorter
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusloom.operators.dedupe import ranked_in_groups
 from corpusloom.plans.catalogue import Catalogue, table
 
 PLANNING = Catalogue()
@@ -80,14 +81,11 @@ def q_sample(spark: SparkSession, d: str) -> DataFrame:
     return keyed.withColumn("r", F.row_number().over(Window.partitionBy("source").orderBy("rank", "doc_id"))).where("r <= 2").select("source", "doc_id", "r")
 
 
-@PLANNING.query("review_chunks", "SELECT (row_number() OVER (ORDER BY doc_id) - 1) // 100 AS chunk, doc_id FROM documents WHERE lang = 'fr'")
+@PLANNING.query("review_chunks", "SELECT lang, (row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1) // 100 AS chunk, doc_id FROM documents")
 def q_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Submissions of one hundred; numbering is by (range, place), so no task sees all rows."""
-    docs = table(spark, d, "documents").where("lang = 'fr'").select("doc_id").withColumn("range", F.expr("doc_id div 1024"))
-    sizes = docs.groupBy("range").agg(F.count("*").alias("n"))
-    shift = sizes.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("shift"))
-    place = F.row_number().over(Window.partitionBy("range").orderBy("doc_id")) - 1
-    return docs.withColumn("place", place).join(shift, "range").select(F.expr("(place + shift) div 100").alias("chunk"), "doc_id")
+    """Submissions of one hundred of each language; numbering is by (range, place), so no task sees all rows."""
+    docs = table(spark, d, "documents").select("doc_id", "lang")
+    return ranked_in_groups(docs, "lang", [F.expr("doc_id div 1024")], [F.col("doc_id")]).select("lang", F.expr("(rank - 1) div 100").alias("chunk"), "doc_id")
 
 
 @PLANNING.query("review_routes", "SELECT doc_id, CASE WHEN l.doc_id IS NOT NULL AND length(text) >= 40 THEN 'solo' WHEN lang = 'en' THEN 'wordless' ELSE 'skip' END AS route FROM documents LEFT JOIN labels l USING (doc_id)")

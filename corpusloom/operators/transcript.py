@@ -8,14 +8,24 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.numeric import rounded, upper_median
-from corpusloom.functions.text import seconds_of, sentences, timecode
+from corpusloom.functions.text import SPACE_RE2, numbered, seconds_of, sentences, timecode
 from corpusloom.plans.catalogue import Catalogue, table
 
 TRANSCRIPT = Catalogue()
 _SPLIT = r"""string_split(regexp_replace(text, '(\.\.[.!?])\s+|([.!?])["'')\]]*\s+(["''(\[]*[A-Z0-9])', '\1\2' || chr(1) || '\3', 'g'), chr(1))"""
 
 
-@TRANSCRIPT.query("sentences", f"SELECT doc_id, CAST(i AS INTEGER) AS pos, s[i] AS sentence FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, list_filter(list_transform({_SPLIT}, lambda x: trim(x)), lambda x: x <> '') AS s FROM documents))")
+_WORDS = rf"list_filter(regexp_split_to_array(x, '{SPACE_RE2}'), lambda w: w <> '')"
+#: A piece in chunks that pass 240 characters: what is done, the open line, its length.
+_CHUNKS = f"""list_transform([list_reduce(list_transform({_WORDS}, lambda w: {{'d': []::VARCHAR[], 'o': w, 'n': 0::BIGINT}}), lambda s, w: CASE WHEN s.n + length(w.o) + 1 > 240
+    THEN {{'d': list_append(s.d, CASE WHEN s.o = '' THEN w.o ELSE s.o || ' ' || w.o END), 'o': '', 'n': 0::BIGINT}}
+    ELSE {{'d': s.d, 'o': CASE WHEN s.o = '' THEN w.o ELSE s.o || ' ' || w.o END, 'n': s.n + length(w.o) + 1}} END, {{'d': []::VARCHAR[], 'o': '', 'n': 0::BIGINT}})], lambda s: CASE WHEN s.o = '' THEN s.d ELSE list_append(s.d, s.o) END)[1]"""
+
+
+@TRANSCRIPT.query(
+    "sentences",
+    f"SELECT doc_id, CAST(i AS INTEGER) AS pos, s[i] AS sentence FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, flatten(list_transform(list_filter(list_transform({_SPLIT}, lambda x: trim(x)), lambda x: x <> ''), lambda x: CASE WHEN length(x) <= 320 THEN [x] ELSE {_CHUNKS} END)) AS s FROM documents))",
+)
 def q_sentences(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.posexplode(sentences("text")).alias("p", "sentence")).select("doc_id", (F.col("p") + 1).alias("pos"), "sentence")
 
@@ -86,12 +96,36 @@ def q_evidence(spark: SparkSession, d: str) -> DataFrame:
     return j.groupBy("conv_id", "turn").agg(F.array_join(F.array_sort(F.collect_list("t")).cast("array<string>"), ",").alias("span"), F.sum("n").alias("chars"))
 
 
-@TRANSCRIPT.query("quote_exact", "SELECT b.item_id, count(*) AS n, min(d.doc_id) AS first_doc FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 1, 60)) WHERE length(b.text) >= 12 GROUP BY 1")
+def exact_quotes(quotes: DataFrame, docs: DataFrame, least: int = 12) -> DataFrame:
+    """``(item_id, doc_id)``: whole quotations of ``least`` characters or more that stand in a text. One automaton over all quotations (a bounded list) reads every text once."""
+    known = [(r["item_id"], r["text"]) for r in quotes.where(F.length("text") >= least).select("item_id", "text").collect()]
+
+    def run(batches):
+        import ahocorasick
+
+        machine = ahocorasick.Automaton()
+        for item, quote in known:
+            machine.add_word(quote, [*machine.get(quote, []), item])
+        if known:
+            machine.make_automaton()
+        for b in batches:
+            rows = [(item, doc) for doc, text in zip(b["doc_id"], b["text"], strict=True) if text and known for item in {i for _, ids in machine.iter(text) for i in ids}]
+            yield pd.DataFrame(rows, columns=["item_id", "doc_id"])
+
+    return docs.select("doc_id", "text").mapInPandas(run, f"item_id {quotes.schema['item_id'].dataType.simpleString()}, doc_id long")
+
+
+@TRANSCRIPT.query("quote_exact", "SELECT b.item_id, count(*) AS n, min(d.doc_id) AS first_doc FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE length(b.text) >= 12 GROUP BY 1")
 def q_quote(spark: SparkSession, d: str) -> DataFrame:
-    """Quotations found verbatim; the quotations are a bounded list that the documents are searched for."""
-    b = table(spark, d, "benchmark").where(F.length("text") >= 12).select("item_id", F.substring("text", 1, 60).alias("quote"))
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    return docs.join(b, F.col("text").contains(F.col("quote"))).groupBy("item_id").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
+    """Whole quotations found verbatim."""
+    return exact_quotes(table(spark, d, "benchmark"), table(spark, d, "documents")).groupBy("item_id").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
+
+
+@TRANSCRIPT.query("numbered_transcript", "SELECT conv_id, string_agg('[S' || printf('%03d', turn) || '] ' || text, chr(10) ORDER BY turn) AS transcript FROM conversations GROUP BY 1")
+def q_numbered(spark: SparkSession, d: str) -> DataFrame:
+    """Each conversation as numbered lines; one conversation fits a row."""
+    turns = table(spark, d, "conversations").select("conv_id", F.struct("turn", "text").alias("t")).groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("t"))
+    return turns.select("conv_id", F.array_join(numbered("t", lambda t: F.format_string("S%03d", t["turn"]), lambda t: t["text"]), "\n").alias("transcript"))
 
 
 def _in_order(a: str, at: dict[str, int], n: int) -> int:

@@ -138,13 +138,15 @@ def q_tag_order(spark: SparkSession, d: str) -> DataFrame:
 
 
 def expand_code(value: F.Column) -> F.Column:
-    """Tags of a speaker-for-listener code such as F4M."""
+    """Tags of a speaker-for-listener code such as F4M, bare or behind ``Audience:``; none for anything else."""
     voice = F.create_map(*map(F.lit, "f fem m masc t transfem n androgynous".split()))
     audience = F.create_map(*map(F.lit, "f woman m man t transfem n enby c couple a anyone g man x anyone".split()))
-    v = F.lower(value)
+    prefix, bare = split_tag(value)
+    v = F.lower(bare)
     said = F.transform(F.split(F.substring_index(v, "4", 1), ""), lambda ch: F.concat(F.lit("Voice: "), F.try_element_at(voice, ch)))
     heard = F.transform(F.split(F.substring_index(v, "4", -1), ""), lambda ch: F.concat(F.lit("Audience: "), F.try_element_at(audience, ch)))
-    return F.array_distinct(F.array_compact(F.concat(said, heard)))
+    code = prefix.isin("", "Audience") & bare.rlike("(?i)^[FMTNACGX]{1,4}4[FMTNACGX]{1,4}$")
+    return F.when(code, F.array_distinct(F.array_compact(F.concat(said, heard)))).otherwise(F.array().cast("array<string>"))
 
 
 @VOCABULARY.query(

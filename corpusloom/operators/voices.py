@@ -75,14 +75,68 @@ def q_cameos(spark: SparkSession, d: str) -> DataFrame:
     return g.groupBy("item", "author").agg(F.count("*").alias("windows"), F.array_join(F.transform(at, lambda w: (w * 20).cast("string")), ",").alias("offsets")).where("windows >= 2")
 
 
-@VOICES.query("acoustic_fingerprint_match", "WITH b AS (SELECT vec_id, list_reduce(list_prepend(0::BIGINT, list_transform(range(1, 33), lambda i: CASE WHEN embedding[i] > 0 THEN 1::BIGINT << (i - 1) ELSE 0 END)), lambda a, x: a | x) AS bits FROM embeddings), n AS (SELECT * FROM b WHERE vec_id < 20) SELECT n.vec_id AS needle, min(bit_count(xor(n.bits, b.bits)))::INTEGER AS distance, arg_min(b.vec_id, {'d': bit_count(xor(n.bits, b.bits)), 'v': b.vec_id}) AS found FROM n JOIN b ON b.vec_id <> n.vec_id GROUP BY 1")
+_BITS = "list_reduce(list_prepend(0::BIGINT, list_transform(range({0}, {1}), lambda i: CASE WHEN embedding[i] > 0 THEN 1::BIGINT << (i - {0}) ELSE 0 END)), lambda a, x: a | x)"
+
+
+@VOICES.query(
+    "acoustic_fingerprint_match",
+    f"""WITH b AS (SELECT vec_id, {_BITS.format(1, 33)} AS lo, {_BITS.format(33, 65)} AS hi FROM embeddings),
+r AS (SELECT n.vec_id AS needle, b.vec_id, bit_count(xor(n.lo, b.lo)) + bit_count(xor(n.hi, b.hi)) AS d FROM b JOIN b n ON n.vec_id % 50 = 0 AND b.vec_id <> n.vec_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY needle ORDER BY d, vec_id) AS k FROM r)
+SELECT needle, CAST(max(d) FILTER (k = 1) AS INTEGER) AS distance, max(vec_id) FILTER (k = 1) AS found, CAST(coalesce(max(d) FILTER (k = 2), 32) - max(d) FILTER (k = 1) AS INTEGER) AS margin FROM k WHERE k <= 2 GROUP BY 1""",
+)
 def q_print(spark: SparkSession, d: str) -> DataFrame:
-    """The print with the fewest differing bits for each of twenty needles (a bounded list)."""
-    bits = F.aggregate(F.transform(F.slice("embedding", 1, 32), lambda x, i: F.when(x > 0, F.shiftleft(F.lit(1).cast("long"), 0) * F.pow(F.lit(2.0), i).cast("long")).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
-    b = table(spark, d, "embeddings").select("vec_id", bits.alias("bits"))
-    n = b.where("vec_id < 20").select(F.col("vec_id").alias("needle"), F.col("bits").alias("own"))
-    dist = F.bit_count(F.col("own").bitwiseXOR(F.col("bits")))
-    return b.join(F.broadcast(n), F.col("vec_id") != F.col("needle")).groupBy("needle").agg(F.min(dist).alias("distance"), F.min_by("vec_id", F.struct(dist.alias("d"), "vec_id")).alias("found"))
+    """The print (all components, two words) with the fewest differing bits for each needle, and how far the runner-up is. Needles: every row whose id is divisible by 50, against all rows in blocks."""
+    rows = table(spark, d, "embeddings").select("vec_id", "embedding")
+    return nearest_prints(rows, rows.where("vec_id % 50 = 0"))
+
+
+def nearest_prints(rows: DataFrame, needles: DataFrame, block: int = 4096) -> DataFrame:
+    """``(needle, distance, found, margin)``; needles are read in blocks of bounded size, each is broadcast and meets every row once."""
+    import numpy as np
+    import pandas as pd
+
+    def bits(vectors: pd.Series) -> np.ndarray:
+        x = np.stack([np.asarray(v, np.float32) for v in vectors]) > 0
+        return np.packbits(np.pad(x, ((0, 0), (0, -x.shape[1] % 64))), axis=1, bitorder="little").view("<u8")
+
+    spark, parts, held = rows.sparkSession, [], []
+
+    def flush() -> None:
+        ids, words = np.array([h[0] for h in held]), bits(pd.Series([h[1] for h in held]))
+        shared = spark.sparkContext.broadcast((ids, words))
+        held.clear()
+
+        def run(batches):
+            asked, own = shared.value
+            for b in batches:
+                have, at = bits(b["embedding"]), b["vec_id"].to_numpy()
+                order = np.argsort(at, kind="stable")
+                have, at = have[order], at[order]
+                for k in range(0, len(asked), 256):
+                    apart = np.bitwise_count(own[k : k + 256, None, :] ^ have[None, :, :]).sum(axis=2).astype(np.int32)
+                    apart[asked[k : k + 256, None] == at[None, :]] = 1 << 30
+                    best = np.argsort(apart, axis=1, kind="stable")[:, :2]
+                    d = np.take_along_axis(apart, best, axis=1)
+                    out = pd.DataFrame({"needle": np.repeat(asked[k : k + 256], best.shape[1]), "d": d.ravel(), "vec_id": at[best].ravel()})
+                    yield out[out.d < 1 << 30]
+
+        parts.append(rows.mapInPandas(run, "needle long, d int, vec_id long"))
+
+    for r in needles.select("vec_id", "embedding").toLocalIterator():
+        held.append((r["vec_id"], r["embedding"]))
+        if len(held) == block:
+            flush()
+    if held or not parts:
+        if not held:
+            return spark.createDataFrame([], "needle long, distance int, found long, margin int")
+        flush()
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.unionAll(p)
+    two = found.withColumn("k", F.row_number().over(Window.partitionBy("needle").orderBy("d", "vec_id"))).where("k <= 2").groupBy("needle")
+    first, second = F.max(F.when(F.col("k") == 1, F.col("d"))), F.max(F.when(F.col("k") == 2, F.col("d")))
+    return two.agg(first.alias("distance"), F.max(F.when(F.col("k") == 1, F.col("vec_id"))).alias("found"), (F.coalesce(second, F.lit(32)) - first).alias("margin"))
 
 
 @VOICES.query("duration_tags", "SELECT event_id, CASE WHEN s = 0 THEN '' WHEN s / 60 < 10 THEN 'Duration: <10' WHEN s / 60 >= 120 THEN 'Duration: 120+' ELSE printf('Duration: %d-%d', (floor(s / 600) * 10)::INT, (floor(s / 600) * 10)::INT + 10) END AS tag FROM (SELECT event_id, floor(value * 100) AS s FROM events)")

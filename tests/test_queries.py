@@ -48,7 +48,9 @@ def one(spark, column):
     (text.slug, "Straße", "strae"), (text.fold, "Straße", "strasse"), (text.slug, "", "untitled"), (text.slug, "don't stop", "dont-stop"),
     (text.squeeze, "one\x1ctwo\u0085three\u00a0 four", "one two three four"), (text.unrun, "DeepTranceLoop2", "Deep Trance Loop 2"), (text.unrun, "a_b_c", "a b c"),
     (text.tidy_case, "The End Of The Road", "The End of the Road"), (text.base_of, "title-0", "title"), (text.seconds_of, "1:02:03", 3723),
-    (text.sentences, 'Hello! "Next." End.', ["Hello!", '"Next.', "End."]), (text.stem_of, "a/b/c.yaml", "c"), (text.prose, "<p>a<b>b</b>", "a b"),
+    (text.slug, "Łódź ﬁle", "odz-file"), (text.fold, "ẖŉ ǰ", "hnj"), (text.squash, "Ünder_score, ok!", "under_score ok"), (text.release_date, " 2024-05 about", "2024-05"), (text.release_date, "May 2024", ""),
+    (text.json_part, '```json\n{"a": 1}\n```', '{"a": 1}'), (text.json_part, 'so: {"a": 1} done', '{"a": 1}'), (text.json_part, "none", None),
+    (text.sentences, " ".join(["word"] * 90), [" ".join(["word"] * 49), " ".join(["word"] * 41)]), (text.sentences, 'Hello! "Next." End.', ["Hello!", '"Next.', "End."]), (text.stem_of, "a/b/c.yaml", "c"), (text.prose, "<p>a<b>b</b>", "a b"),
 ])
 def test_functions(spark, f, given, want):
     assert one(spark, f(F.lit(given))) == want
@@ -56,6 +58,9 @@ def test_functions(spark, f, given, want):
 
 def test_truthiness(spark):
     assert one(spark, text.first_truthy(F.lit(None).cast("string"), F.lit(""), F.lit("x"))) == "x"
+    for plain in ("fun", "four", "4", "x4", "Content: F4M", "mp4 file", ""):
+        assert one(spark, expand_code(F.lit(plain))) == []
+    assert one(spark, expand_code(F.lit("Audience: f4m"))) == ["Voice: fem", "Audience: man"]
     assert one(spark, expand_code(F.lit("FM4A"))) == ["Voice: fem", "Voice: masc", "Audience: anyone"]
 
 
@@ -68,6 +73,9 @@ def test_order_refuses():
 
 def test_stems(spark):
     df = spark.createDataFrame([("x", 1, "t"), ("x", 2, "t-0"), ("x", 3, "t"), ("x", 4, "t")], "author string, pos long, stem string")
+    many = spark.createDataFrame([("x", i, "t") for i in range(1003)], "author string, pos long, stem string")
+    with pytest.raises(Exception, match="no free name"):
+        unique_stems(many).count()
     assert [r["unique"] for r in unique_stems(df).orderBy("pos").collect()] == ["t", "t-0", "t-1", "t-2"]
 
 
@@ -82,3 +90,9 @@ def test_fuzzy_quotes(spark):
     docs = spark.createDataFrame([(7, texts[0]), (8, texts[1]), (9, None)], "doc_id long, text string")
     found = {r["item_id"]: (r["ratio"], r["doc_id"]) for r in transcript.fuzzy_quotes(spark.createDataFrame(quotes, "item_id long, text string"), docs).collect()}
     assert set(found) == {1, 2} and found[1] == (1.0, 7) and found[2][1] == 8
+
+
+def test_exact_quotes_are_whole(spark):
+    docs = spark.createDataFrame([(1, "x " + "a" * 70 + "b end"), (2, "x " + "a" * 70 + "c"), (3, None)], "doc_id long, text string")
+    quotes = spark.createDataFrame([(1, "a" * 70 + "b"), (2, "a" * 70), (3, "a" * 70 + "b"), (4, "short"), (5, None)], "item_id long, text string")
+    assert sorted(map(tuple, transcript.exact_quotes(quotes, docs).collect())) == [(1, 1), (2, 1), (2, 2), (3, 1)]
