@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import first_line, portable, prose, slug, squash, strip_controls, squeeze, tidy_case, title_parts, unrun, machine_made, not_a_title, SPACE_RE2
+from corpusloom.functions.titles import tidy_title
 from corpusloom.plans.catalogue import Catalogue, table
 
 MATCHING = Catalogue()
@@ -138,6 +139,17 @@ def q_tidy(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", tidy_case(first_line("text")).alias("title"))
 
 
+@MATCHING.query(
+    "title_cleanup",
+    "SELECT p_partkey, p_name AS title, CASE WHEN p_partkey % 2 = 0 THEN p_type ELSE '' END AS script_by, CASE WHEN p_partkey % 2 = 1 THEN '720p' ELSE '' END AS variant FROM part",
+)
+def q_cleanup(spark: SparkSession, d: str) -> DataFrame:
+    """Names of parts come back out of titles with codes, credits, lengths and traces of encoding around them."""
+    credited = F.concat(F.lit("[F4M] "), "p_name", F.lit(" (script by u/"), "p_type", F.lit(") [12:30]"))
+    titled = F.when(F.col("p_partkey") % 2 == 0, credited).otherwise(F.concat(F.lit("example.net: "), "p_name", F.lit("_720p.mp3")))
+    return table(spark, d, "part").select("p_partkey", tidy_title(titled).alias("t")).select("p_partkey", "t.title", "t.script_by", "t.variant")
+
+
 @MATCHING.query("title_flags")
 def q_flags(spark: SparkSession, d: str) -> DataFrame:
     """Machine-made and run-together titles of page addresses, and their split form (look-around has no RE2 twin)."""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import SPACE_RE2, fold, loose_tag, split_tag, word_fold
+from corpusloom.functions.titles import NOT_A_TAG, proposal_forms
 from corpusloom.plans.catalogue import Catalogue, table
 
 VOCABULARY = Catalogue()
@@ -54,7 +55,7 @@ def resolve(tags: DataFrame, mapping: DataFrame, spelling: DataFrame) -> DataFra
 def rewrite(items: DataFrame, changes: DataFrame) -> DataFrame:
     """Apply ``changes(from, to)`` to ``items(id, tag)`` by folded spelling; an empty ``to`` removes."""
     ch = changes.select(fold("from").alias("k"), F.col("to"))
-    out = items.join(F.broadcast(ch), fold("tag") == F.col("k"), "left").withColumn("tag", F.when(F.col("k").isNotNull(), F.col("to")).otherwise(F.col("tag")))
+    out = items.join(ch, fold("tag") == F.col("k"), "left").withColumn("tag", F.when(F.col("k").isNotNull(), F.col("to")).otherwise(F.col("tag")))
     return out.where("tag <> ''").select("id", "tag").distinct()
 
 
@@ -182,6 +183,39 @@ def q_counts(spark: SparkSession, d: str) -> DataFrame:
     return counted.withColumn("r", F.row_number().over(Window.partitionBy("author").orderBy(F.desc("n"), "tag"))).where("r <= 10").drop("r")
 
 
+def fold_proposals(tags: DataFrame, known: DataFrame) -> DataFrame:
+    """``tags`` with ``folded`` and ``why``: a registered tag that the proposal only softens or mentions, empty for what describes an upload, else the tag itself.
+
+    ``tags``: any columns, of them ``tag``; ``known``: one column ``full``. Each of the at most four forms meets the registry in a join of its own, so rows aren't multiplied or regrouped; the registry is broadcast where Spark finds it small. A null or blank tag is empty.
+    """
+    names = known.select(F.col("full").alias("__known")).where("__known IS NOT NULL").distinct()
+    out = tags.withColumn("__t", F.trim(F.coalesce("tag", F.lit("")))).withColumn("__forms", proposal_forms("__t"))
+    hits = []
+    for i in range(4):
+        form = F.try_element_at("__forms", F.lit(i + 1))
+        out = out.withColumn(f"__f{i}", form["form"]).join(names.withColumnRenamed("__known", f"__k{i}"), F.col(f"__f{i}") == F.col(f"__k{i}"), "left")
+        hits.append(F.when(F.col(f"__k{i}").isNotNull(), F.struct(form["form"].alias("form"), form["why"].alias("why"))))
+    plain = F.struct(F.col("__t").alias("form"), F.lit("").alias("why"))
+    refused = F.when(F.col("__t") == "", "empty").when(F.col("__t").rlike(NOT_A_TAG), "not a tag: describes the upload, not the recording")
+    got = F.when(refused.isNotNull(), F.struct(F.lit("").alias("form"), refused.alias("why"))).otherwise(F.coalesce(*hits, plain))
+    return out.withColumn("__got", got).select(*tags.columns, F.col("__got.form").alias("folded"), F.col("__got.why").alias("why"))
+
+
+@VOCABULARY.query(
+    "fold_known_proposals",
+    """WITH names AS (SELECT DISTINCT p_name AS n FROM part WHERE p_size < 25),
+t AS (SELECT p_partkey, p_partkey % 4 AS k, p_name, ['some slight ', 'hint of ', 'part 3 of 4 ', ''][CAST(p_partkey % 4 AS INTEGER) + 1] || p_name AS tag FROM part)
+SELECT p_partkey, CASE WHEN k = 2 THEN '' WHEN k IN (0, 1) AND n IS NOT NULL THEN CASE k WHEN 1 THEN 'CW: ' ELSE '' END || p_name ELSE tag END AS folded,
+CASE WHEN k = 2 THEN 'not a tag: describes the upload, not the recording' WHEN n IS NULL OR k = 3 THEN '' WHEN k = 1 THEN 'mentioned rather than featured' ELSE 'a qualifier that only softens' END AS why
+FROM t LEFT JOIN names ON n = p_name""",
+)
+def q_known_proposals(spark: SparkSession, d: str) -> DataFrame:
+    part = table(spark, d, "part")
+    lead = F.element_at(F.array(*map(F.lit, ["some slight ", "hint of ", "part 3 of 4 ", ""])), (F.col("p_partkey") % 4 + 1).cast("int"))
+    names = part.where("p_size < 25").select(F.explode(F.array("p_name", F.concat(F.lit("CW: "), "p_name"))).alias("full"))
+    return fold_proposals(part.select("p_partkey", F.concat(lead, "p_name").alias("tag")), names).select("p_partkey", "folded", "why")
+
+
 _CHANGES = [("promo burnished copper", "Shiny copper"), ("STEEL", ""), ("Economy Anodized Steel", "Shiny copper")]
 
 
