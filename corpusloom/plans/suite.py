@@ -6,6 +6,8 @@ from corpusloom.operators.dedupe import DEDUPE
 from corpusloom.operators.ledger import LEDGER
 from corpusloom.operators.matching import MATCHING
 from corpusloom.operators.planning import PLANNING
+from corpusloom.operators.merging import MERGING
+from corpusloom.operators.registry import REGISTRY
 from corpusloom.operators.signals import SIGNALS
 from corpusloom.operators.transcript import TRANSCRIPT
 from corpusloom.operators.vocabulary import VOCABULARY
@@ -14,6 +16,6 @@ from corpusloom.streaming.standing import STREAMING
 
 QUERIES = {}
 ORACLE_SQL = {}
-for part in (DEDUPE, VOCABULARY, LEDGER, MATCHING, TRANSCRIPT, VOICES, PLANNING, SIGNALS, STREAMING):
+for part in (DEDUPE, VOCABULARY, LEDGER, MATCHING, TRANSCRIPT, VOICES, PLANNING, SIGNALS, REGISTRY, MERGING, STREAMING):
     QUERIES |= part.queries
     ORACLE_SQL |= part.sql
