@@ -264,19 +264,6 @@ class _Shared:
         return self.sent.value
 
 
-_coders: dict[int, Coder] = {}
-
-
-def _coder(shared) -> Coder:
-    """The worker's coder, with what it remembers from earlier tasks."""
-    from corpusloom.llm import unigram
-
-    if shared.id not in unigram._coders:
-        unigram._coders.clear()
-        unigram._coders[shared.id] = Coder(shared.value)
-    return unigram._coders[shared.id]
-
-
 def encode_texts(docs: DataFrame, model_file: str | None = None) -> DataFrame:
     """``(doc_id, n_tokens, input_ids, ids_sha256, round_trip)``, a row per input row."""
     spark = docs.sparkSession
@@ -284,7 +271,7 @@ def encode_texts(docs: DataFrame, model_file: str | None = None) -> DataFrame:
     shared = _Shared(spark.sparkContext.broadcast(Unigram(model_file or tokenizer_path())))  # bounded by the vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coder(shared)
+        coder = Coder(shared.value)  # of this task: what it remembers must not stay in a worker that other operators use next
         for b in batches:
             raw = [encode(t) for t in b.column(1).to_pylist()]
             for first, last in groups(raw):
@@ -306,7 +293,7 @@ def decode_ids(rows: DataFrame, model_file: str | None = None) -> DataFrame:
     shared = _Shared(spark.sparkContext.broadcast(Unigram(model_file or tokenizer_path())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coder(shared)
+        coder = Coder(shared.value)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([coder.decode(i or []) for i in b.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
 
