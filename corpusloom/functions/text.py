@@ -129,7 +129,7 @@ def _chunks(piece: Column, most: int, full: int) -> Column:
 def sentences(x: Column | str, most: int = 320, full: int = 240) -> Column:
     """Sentences of a text: terminator, closers, white space, then a capital or digit; those over ``most`` characters in chunks."""
     marked = F.regexp_replace(c(x), r"(\.\.[.!?])\s+|([.!?])[\"')\]]*\s+([\"'(\[]*[A-Z0-9])", "$1$2\u0001$3")
-    whole = F.filter(F.transform(F.split(marked, "\u0001"), F.trim), lambda s: s != "")
+    whole = F.filter(F.transform(F.split(marked, "\u0001"), lambda s: F.trim(s)), lambda s: s != "")  # bare F.trim would get the place too, as characters to trim
     return F.flatten(F.transform(whole, lambda s: _chunks(s, most, full)))
 
 

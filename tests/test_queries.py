@@ -96,3 +96,10 @@ def test_exact_quotes_are_whole(spark):
     docs = spark.createDataFrame([(1, "x " + "a" * 70 + "b end"), (2, "x " + "a" * 70 + "c"), (3, None)], "doc_id long, text string")
     quotes = spark.createDataFrame([(1, "a" * 70 + "b"), (2, "a" * 70), (3, "a" * 70 + "b"), (4, "short"), (5, None)], "item_id long, text string")
     assert sorted(map(tuple, transcript.exact_quotes(quotes, docs).collect())) == [(1, 1), (2, 1), (2, 2), (3, 1)]
+
+
+def test_sentences_keep_their_first_digits(spark):
+    """Pieces are trimmed of spaces, not of the digits of their place."""
+    given = "  One. 148 is two. 2 is three! 33.122 is four? 4 is five. 5  "
+    assert one(spark, text.sentences(F.lit(given))) == ["One.", "148 is two.", "2 is three!", "33.122 is four?", "4 is five.", "5"]
+    assert one(spark, text.sentences(F.lit(" 0 is first. "))) == ["0 is first."]
