@@ -27,5 +27,6 @@ def tones(embeddings: DataFrame, seconds: int = 2) -> DataFrame:
 @SIGNALS.query("dsp_measures")
 def q_measures(spark: SparkSession, d: str) -> DataFrame:
     """Loudness, pitch, timbre and length of the print of every recording (no SQL twin: Fourier transforms)."""
-    t = tones(table(spark, d, "embeddings").select("vec_id", "embedding"))
+    vectors = table(spark, d, "embeddings").select("vec_id", "embedding").repartition(4 * spark.sparkContext.defaultParallelism)  # few bytes, much work
+    t = tones(vectors)
     return t.select("vec_id", measures("samples").alias("m"), F.size(print_words("samples")).alias("print_words")).select("vec_id", "m.*", "print_words")

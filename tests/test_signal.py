@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from corpusloom.functions import signal
-from corpusloom.operators.signals import tones
+from corpusloom.operators.signals import q_measures, tones
 
 T = np.arange(signal.RATE * 8) / signal.RATE
 
@@ -81,3 +81,19 @@ def test_columns(spark):
     t = tones(rows).unionByName(spark.createDataFrame([(3, None)], "vec_id long, samples array<float>"))
     got = {r["vec_id"]: r for r in t.select("vec_id", signal.measures("samples").alias("m"), signal.print_words("samples").alias("p")).collect()}
     assert got[1]["m"]["rms"] > 0 and len(got[1]["p"]) == 19 and got[2]["m"]["crest_db"] is None and got[3]["m"]["rms"] is None and got[3]["p"] == []
+
+
+def test_lags_against_plain_sums():
+    """The shorter transform wraps nothing onto the lags that are read, and blocks of probes make no difference."""
+    frames = (0.2 * np.random.default_rng(5).standard_normal((20, signal.PITCH_FRAME))).astype(np.float32)
+    level, zero, best, lag, at_lag, bright = signal._probe(frames)
+    for k, x in enumerate(frames):
+        y = (x - np.float32(x.astype(float).mean())).astype(float)
+        sums = [float(y[: len(y) - n] @ y[n:]) for n in range(signal.RATE // signal.PITCH_LOW)]
+        assert abs(sums[0] - zero[k]) < 1e-9 and abs(max(sums[signal.RATE // signal.PITCH_HIGH :]) - best[k]) < 1e-9 and abs(sums[lag[k]] - at_lag[k]) < 1e-9
+    assert signal.PITCH_PADDED >= signal.PITCH_FRAME + signal.RATE // signal.PITCH_LOW - 1
+
+
+def test_measures_are_dealt_to_all_cores(spark, sf_dir):
+    """A small file of vectors is one partition, but each vector is a recording's work."""
+    assert q_measures(spark, sf_dir).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
