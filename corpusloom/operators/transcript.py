@@ -12,6 +12,8 @@ from corpusloom.functions.text import SPACE_RE2, numbered, seconds_of, sentences
 from corpusloom.plans.catalogue import Catalogue, table
 
 TRANSCRIPT = Catalogue()
+#: Pairs of quotation and text whose subsequences are measured at once (they stay in cache).
+PAIRS = 16_384
 _SPLIT = r"""string_split(regexp_replace(text, '(\.\.[.!?])\s+|([.!?])["'')\]]*\s+(["''(\[]*[A-Z0-9])', '\1\2' || chr(1) || '\3', 'g'), chr(1))"""
 
 
@@ -128,14 +130,91 @@ def q_numbered(spark: SparkSession, d: str) -> DataFrame:
     return turns.select("conv_id", F.array_join(numbered("t", lambda t: F.format_string("S%03d", t["turn"]), lambda t: t["text"]), "\n").alias("transcript"))
 
 
-def _in_order(a: str, at: dict[str, int], n: int) -> int:
-    """Length of the longest common subsequence of ``a`` and a string of ``n`` characters with the places ``at`` (bits)."""
-    full = (1 << n) - 1
-    row = full
-    for c in a:
-        both = row & at.get(c, 0)
-        row = ((row + both) | (row - both)) & full
-    return n - row.bit_count()
+class _Quotes:
+    """Quotations prepared once for comparison with many texts."""
+
+    def __init__(self, quotes: list[tuple[int, str]]) -> None:
+        self.quotes, self.matchers = quotes, {}
+        self.size = np.array([len(q) for _, q in quotes], np.int64)
+        owner = np.repeat(np.arange(len(quotes)), self.size)
+        codes = _codes([q for _, q in quotes])
+        self.held = np.bincount(owner * 64 + codes % 64, minlength=64 * len(quotes)).reshape(-1, 64).astype(np.int32)
+        # places of each character in each quotation, 64 to a word
+        self.letters, letter = np.unique(codes, return_inverse=True)
+        self.width = len(self.letters) + 1  # the last one: in no quotation
+        self.words = -(-self.size // 64)
+        place = np.arange(len(codes)) - np.repeat(np.cumsum(self.size) - self.size, self.size)
+        self.masks = np.zeros((max(self.words, default=0), len(quotes) * self.width), np.uint64)
+        np.bitwise_or.at(self.masks, (place // 64, owner * self.width + letter), np.uint64(1) << (place % 64).astype(np.uint64))
+
+    def letter_of(self, codes: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.letters, codes)
+        return np.where(self.letters[np.minimum(at, self.width - 2)] == codes, at, self.width - 1) if self.width > 1 else np.zeros(len(codes), np.int64)
+
+    def in_order(self, j: np.ndarray, start: np.ndarray, n: np.ndarray, letters: np.ndarray) -> np.ndarray:
+        """Length of the longest common subsequence of quotation ``j`` and the ``n`` letters from ``start``, for many pairs at once (bits)."""
+        out = np.zeros(len(j), np.int64)
+        for words in np.unique(self.words[j]):
+            own = np.flatnonzero(self.words[j] == words)
+            own = own[np.argsort(-n[own], kind="stable")]
+            for block in (own[k : k + PAIRS] for k in range(0, len(own), PAIRS)):
+                rows = np.full((words, len(block)), ~np.uint64(0))
+                begin, base, ends = start[block], j[block] * self.width, n[block][::-1]
+                for i in range(n[block[0]]):
+                    live = len(block) - int(np.searchsorted(ends, i, "right"))  # pairs whose text goes on
+                    at, carry = base[:live] + letters[begin[:live] + i], None
+                    for w in range(words):
+                        row = rows[w, :live]
+                        both = row & self.masks[w].take(at)
+                        total = row + both
+                        over = total < row
+                        if carry is not None:
+                            total += carry
+                            over |= total < carry
+                        row ^= both
+                        row |= total
+                        carry = over.astype(np.uint64)
+                out[block] = 64 * words - np.bitwise_count(rows).sum(axis=0, dtype=np.int64)
+        return out
+
+    def similar(self, texts: list[str], least: float) -> list[tuple[int, int, float]]:
+        from difflib import SequenceMatcher
+
+        if not self.quotes or not texts:
+            return []
+        texts_by_size = np.argsort([len(t) for t in texts], kind="stable")
+        sorted_texts = [texts[k] for k in texts_by_size]
+        n = np.array([len(t) for t in sorted_texts], np.int64)
+        codes, begin = _codes(sorted_texts), np.cumsum(n) - n
+        held = np.bincount(codes % 64 * len(n) + np.repeat(np.arange(len(n)), n), minlength=64 * len(n)).reshape(64, -1).astype(np.int32)
+        pairs: list[tuple[np.ndarray, np.ndarray]] = []
+        for j, size in enumerate(self.size):
+            need = least * (size + n) - 1e-6  # twice the characters that must match
+            able = np.flatnonzero(2 * np.minimum(size, n) >= need)
+            if len(able):
+                lo, hi = able[0], able[-1] + 1  # lengths near the quotation's, side by side
+                common = np.zeros(hi - lo, np.int32)
+                for c in np.flatnonzero(self.held[j]):
+                    common += np.minimum(held[c, lo:hi], self.held[j, c])
+                k = lo + np.flatnonzero(2 * common >= need[lo:hi])
+                pairs.append((k, np.full(len(k), j)))
+        if not pairs:
+            return []
+        k, j = (np.concatenate(x) for x in zip(*pairs, strict=True))
+        good = 2 * self.in_order(j, begin[k], n[k], self.letter_of(codes)) >= least * (self.size[j] + n[k]) - 1e-6
+        out: list[tuple[int, int, float]] = []
+        for k, j in sorted(zip(texts_by_size[k[good]].tolist(), j[good].tolist(), strict=True)):
+            if j not in self.matchers:
+                self.matchers[j] = SequenceMatcher(None, "", self.quotes[j][1])
+            self.matchers[j].set_seq1(texts[k])
+            ratio = self.matchers[j].ratio()
+            if ratio >= least:
+                out.append((self.quotes[j][0], k, ratio))
+        return out
+
+
+def _codes(texts: list[str]) -> np.ndarray:
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
 
 
 def similar_quotes(quotes: list[tuple[int, str]], texts: list[str], least: float) -> list[tuple[int, int, float]]:
@@ -145,35 +224,7 @@ def similar_quotes(quotes: list[tuple[int, str]], texts: list[str], least: float
     in common, and than the longest common subsequence; only pairs that one of
     these excludes are not compared.
     """
-    from difflib import SequenceMatcher
-
-    def classes(t: str) -> np.ndarray:
-        return np.bincount(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) % 64, minlength=64)
-
-    out: list[tuple[int, int, float]] = []
-    if not quotes:
-        return out
-    size, held = np.array([len(q) for _, q in quotes]), np.array([classes(q) for _, q in quotes])
-    bits: list[dict[str, int]] = []
-    matchers = []
-    for _, q in quotes:
-        at: dict[str, int] = {}
-        for i, c in enumerate(q):
-            at[c] = at.get(c, 0) | 1 << i
-        bits.append(at)
-        matchers.append(SequenceMatcher(None, "", q))
-    for k, t in enumerate(texts):
-        need = least * (size + len(t)) - 1e-6  # twice the characters that must match
-        able = np.flatnonzero(2 * np.minimum(size, len(t)) >= need)
-        able = able[2 * np.minimum(held[able], classes(t)).sum(axis=1) >= need[able]]
-        for j in able:
-            if 2 * _in_order(t, bits[j], int(size[j])) < need[j]:
-                continue
-            matchers[j].set_seq1(t)
-            ratio = matchers[j].ratio()
-            if ratio >= least:
-                out.append((quotes[j][0], k, ratio))
-    return out
+    return _Quotes(quotes).similar(texts, least)
 
 
 def fuzzy_quotes(quotes: DataFrame, docs: DataFrame, least: float = 0.75) -> DataFrame:
@@ -181,8 +232,9 @@ def fuzzy_quotes(quotes: DataFrame, docs: DataFrame, least: float = 0.75) -> Dat
     known = [(r["item_id"], r["text"]) for r in quotes.select("item_id", "text").where("text IS NOT NULL").collect()]  # a bounded list
 
     def run(batches):
+        prepared = _Quotes(known)
         for b in batches:
-            found = similar_quotes(known, b["sentence"].tolist(), least)
+            found = prepared.similar(b["sentence"].tolist(), least)
             doc = b["doc_id"].to_numpy()
             yield pd.DataFrame({"item_id": pd.Series([f[0] for f in found], dtype=items), "ratio": pd.Series([f[2] for f in found], dtype=float), "doc_id": pd.Series([doc[f[1]] for f in found], dtype="int64")})
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,3 +104,35 @@ def test_sentences_keep_their_first_digits(spark):
     given = "  One. 148 is two. 2 is three! 33.122 is four? 4 is five. 5  "
     assert one(spark, text.sentences(F.lit(given))) == ["One.", "148 is two.", "2 is three!", "33.122 is four?", "4 is five.", "5"]
     assert one(spark, text.sentences(F.lit(" 0 is first. "))) == ["0 is first."]
+
+
+def test_many_quotes_at_once():
+    """Subsequences of all pairs in one pass against a plain table, with quotations of one to five words of bits, and ratios against difflib."""
+    import random
+    from difflib import SequenceMatcher
+
+    r = random.Random(4)
+    quotes = [(k, "".join(r.choice("abcdé 😀") for _ in range(n))) for k, n in enumerate((1, 40, 63, 64, 65, 128, 129, 300))]
+    texts = ["", "x", *("".join(r.choice("abcdéz ") for _ in range(n)) for n in (1, 50, 64, 90, 200, 310))]
+    for _, q in quotes:  # close ones
+        t = list(q)
+        for _ in range(len(t) // 9):
+            t[r.randrange(len(t))] = r.choice("ab z")
+        texts.append("".join(t))
+
+    def table(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for i, y in enumerate(b):
+                last, row[i + 1] = row[i + 1], last + 1 if x == y else max(row[i], row[i + 1])
+        return row[-1]
+
+    prepared = transcript._Quotes(quotes)
+    pairs = [(j, k) for j in range(len(quotes)) for k in range(len(texts))]
+    size = np.array([len(t) for t in texts])
+    j, k = np.array(pairs).T
+    got = prepared.in_order(j, (np.cumsum(size) - size)[k], size[k], prepared.letter_of(transcript._codes(texts)))
+    assert got.tolist() == [table(texts[k], quotes[j][1]) for j, k in pairs]
+    want = [(i, k, x) for k, t in enumerate(texts) for i, q in quotes for x in [SequenceMatcher(None, t, q).ratio()] if x >= 0.75]
+    assert prepared.similar(texts, 0.75) == want and len(want) == 7  # all close ones but the longest, whose letters are all popular
